@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, simhash
+from . import mixing, packing, pii, simhash, toxicity
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predicted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -42,7 +46,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op5_pii, op8_packing, op9_mixing, op10_simhash]
+    named = [op5_pii, op6_toxicity, op8_packing, op9_mixing, op10_simhash, pipeline]
     return {f.__name__: f for f in named}
 
 
