@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, simhash, toxicity
+from . import lm, mixing, packing, pii, quality, simhash, toxicity
 from .common import read
 
 
@@ -18,6 +18,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(read(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
@@ -46,7 +55,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op5_pii, op6_toxicity, op8_packing, op9_mixing, op10_simhash, pipeline]
+    named = [op3_quality, op4_lm, op5_pii, op6_toxicity, op8_packing, op9_mixing, op10_simhash, pipeline]
     return {f.__name__: f for f in named}
 
 
