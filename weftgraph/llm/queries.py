@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, packing, pii, quality, simhash, toxicity
+from . import chat, lm, media, mixing, packing, pii, quality, simhash, toxicity
 from .common import read
 
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
@@ -35,6 +39,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predicted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
+    return chat.digests(chat.formatted(rows, tokenizer_path()))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -55,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op3_quality, op4_lm, op5_pii, op6_toxicity, op8_packing, op9_mixing, op10_simhash, pipeline]
+    named = [op1_media, op3_quality, op4_lm, op5_pii, op6_toxicity, op7_chat, op8_packing, op9_mixing, op10_simhash, pipeline]
     return {f.__name__: f for f in named}
 
 
