@@ -85,7 +85,7 @@ def normalize_route(path: Column) -> Column:
     p = F.trim(F.substring_index(F.substring_index(path, "?", 1), "#", 1))
     p = F.when(p.contains("://"), F.regexp_replace(p, r"^.*?://[^/]*/?", "/")).otherwise(p)
     p = F.when(p.startswith("${"), F.regexp_replace(p, r"^\$\{[^}]*\}", "")).when(p.startswith("$") & p.contains("/"), F.regexp_replace(p, "^[^/]*/", "")).otherwise(p)
-    segments = F.filter(F.transform(F.split(p, "/"), F.trim), lambda s: s != "")
+    segments = F.filter(F.transform(F.split(p, "/"), lambda s: F.trim(s)), lambda s: s != "")
     param = r"^(:[a-zA-Z0-9_$]+|\d+|[0-9a-fA-F-]{36})$"
     one = lambda s: F.when(s.rlike(param) | (s.contains("{") & s.contains("}")) | s.contains("${") | (s.contains("<") & s.contains(">")), F.lit(":param")).otherwise(F.lower(s))
     return F.when(F.trim(F.coalesce(path, F.lit(""))) == "", F.lit("/")).otherwise(F.concat(F.lit("/"), F.array_join(F.transform(segments, one), "/")))
