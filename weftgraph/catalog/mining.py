@@ -105,11 +105,14 @@ def route_normalize(spark, d):
 
 def _servers(spark, d):
     href = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))
-    return table(spark, d, "pages").select(href.alias("raw")).where("raw like '%/%'").select(t.normalize_route(F.col("raw")).alias("server")).distinct()
+    links = table(spark, d, "pages").select(href.alias("raw")).where("raw like '%/%'").select(t.normalize_route(F.col("raw")).alias("server"))
+    # routes with a parameter, as a server would declare them, under a version
+    own = table(spark, d, "pages").select(t.normalize_route(F.col("url")).alias("server")).where("server like '%:param'").select(F.concat(F.lit("/v1"), "server").alias("server"))
+    return links.union(own).distinct()
 
 
 _MATCH = rf"""with c as (select page_id, {_route_sql('url')} as client from pages),
-s as (select distinct {_route_sql('raw')} as server from (select unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as raw from pages) where raw like '%/%'),
+s as (select distinct {_route_sql('raw')} as server from (select unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as raw from pages) where raw like '%/%' union select '/v1' || client from c where ends_with(client, ':param')),
 cs as (select *, [x for x in str_split(client, '/') if x <> ''] as a from c), ss as (select *, [x for x in str_split(server, '/') if x <> ''] as b from s),
 m as (select page_id, client, server, a, b, least(len(a), len(b)) as n from cs, ss),
 tl as (select *, a[len(a) - n + 1:] as x, b[len(b) - n + 1:] as y from m where n > 0 and len([z for z in a if z <> ':param']) > 0),

@@ -18,7 +18,7 @@ def query(sql: str | None = None, views: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            body = sql.strip()
+            body = sql.strip().replace("{VIEWS}", VIEWS)
             ORACLES[f.__name__] = (f"with {VIEWS}, {body[5:]}" if body.startswith("with ") else f"with {VIEWS} {body}") if views else body
         return f
 
