@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import mixing, packing, pii, simhash, toxicity
-from weftgraph.llm.common import read, remove, written
+from weftgraph.llm.common import read, remove, shield, written
 from weftgraph.llm.queries import tokenizer_path
 
 
@@ -33,8 +33,9 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    own, names = shield(docs, "doc_id", "text", "source")
+    mixed = mixing.mix(own).where("copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import pick, small_batches
 
 START, SEP, STOP = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 BLOCK_CHARS = 1 << 20
@@ -42,6 +42,9 @@ def unescape(s: str) -> str:
 def tokenizer(path: str):
     """The tokenizer of a file with the template's marks as further special tokens."""
     if path not in _tokenizers:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
@@ -89,6 +92,7 @@ def formatted(rows: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> Dat
     has no blocks. The blocks of a conversation follow each other within a task.
     """
     small_batches(rows.sparkSession)
+    rows = pick(rows, "conv_id", "turn", "role", "text")
     own = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     names = ["conv_id", "block", "n_turns", "text", "ids", "loss", "loss_spans"]

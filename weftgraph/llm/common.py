@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_path, remove, shared_dir, written  # noqa: F401  used through this module
+
 #: Rows of one Arrow batch that goes to a Python worker; with texts of 100 kB each a batch stays under 30 MB.
 ROWS_PER_BATCH = 256
-_made: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,53 +24,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share.
-
-    Where the session names none (tests on one machine) a folder of this machine is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "/tmp/checkpoints"
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder; what is there is removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/weft-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    _made.add(path)
-    return path
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        _made.discard(path)
-
-
-@atexit.register
-def _remove_all() -> None:
-    spark = SparkSession.getActiveSession()
-    try:
-        if spark is not None and _made:
-            remove(spark, *list(_made))
-    except Exception:  # noqa: BLE001  the session is already gone
-        pass
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def crc_of(col) -> F.Column:
     """crc32 of an id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
@@ -93,3 +44,10 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     place = {name: F.col(f"c{i}") for i, name in enumerate(df.columns)}
     cols = [place.get(n, F.lit(None)) for n in names]
     return by_place.select(*[(c.cast(_KINDS[n]) if n in _KINDS else c).alias(n) for n, c in zip(names, cols, strict=True)])
+
+
+def shield(df: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with only the ``needed`` columns under their names and all others renamed by place, so that no name an
+    operator uses can clash with them; and these names, in order. ``out.select(*names).toDF(*df.columns)`` undoes it."""
+    names = [c if c in needed else f"x{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), names

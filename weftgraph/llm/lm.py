@@ -185,7 +185,7 @@ def pair_counts(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         h, n = h[keep], n[keep]
         by_level = np.bincount((h & np.uint64(31)).astype(np.int64), n - DISCOUNT, minlength=32)
         levels = np.bincount(level(n), minlength=128)
-        return pa.table({"range": [table.column("range")[0].as_py()], "hashes": pa.array([(h & ~np.uint64(31)).tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "kept": [by_level.tolist()], "levels": [levels.tolist()]})
+        return pa.table({"range": [table.column("range")[0].as_py()], "hashes": pa.array([(h & ~np.uint64(31)).tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "kept": [by_level.astype(float).tolist()], "levels": [levels.tolist()]})
 
     found = docs.mapInArrow(count, "range long, hashes binary, counts binary")
     return found.groupBy("range").applyInArrow(merge, "range long, hashes binary, counts binary, kept array<double>, levels array<long>")

@@ -80,7 +80,7 @@ def plan(sizes: DataFrame, **options) -> DataFrame:
     before = lambda *order: Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     b = buckets.withColumn("before", F.coalesce(F.sum("size").over(before("bucket")), F.lit(0)))
     # the bucket in which the extra words are reached: the last that begins before them
-    at = _by_source(b, rates.select("source", "extra")).where(F.col("before") <= F.col("extra"))
+    at = _by_source(b, rates.where("extra > 0").select("source", "extra")).where(F.col("before") <= F.col("extra"))
     at = at.groupBy("source").agg(F.max_by(F.struct("bucket", "before", "extra"), "bucket").alias("at")).select("source", "at.*")
     few = rates.count() <= BROADCAST_ROWS
     near = _by_source(keyed, at, few=few).where(F.substring("key", 1, 4) == F.col("bucket"))
@@ -105,18 +105,21 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     ``docs`` has doc_id, source and text; null texts have no words, a null source is a source of its own and sorts
     last, null ids are all alike. Rows with the same doc_id in one source take the same number of copies. Rows
     without words go with their neighbours in the order. A source without words has target 0. Reruns agree, as the
-    order depends on ids alone. Other columns are kept. An empty table stays empty.
+    order depends on ids alone. Other columns are kept but for those named like the four that are added. An empty
+    table stays empty.
     """
     own = pick(docs, "doc_id", "source", "text").select("doc_id", "source", size_of("text").alias("size"))
     sizes, _ = written(own, "sizes")
     sources = plan(sizes, **options)
     few = sources.count() <= BROADCAST_ROWS
-    names = docs.columns
+    added = ("size", "source_size", "target", "copies")
+    names = [c for c in docs.columns if c.lower() not in added]
     taken = sources.toDF(*[f"__{c}" for c in sources.columns])
-    place = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    col = {n: F.col(f"c{i}") for i, n in enumerate(names)}
+    place = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    col = {n: F.col(f"c{i}") for i, n in enumerate(docs.columns)}
     doc_id, source = col["doc_id"].cast("string"), col["source"].cast("string")
     out = place.join(F.broadcast(taken) if few else taken, source.eqNullSafe(F.col("__source")), "left")
     key = F.md5(F.coalesce(doc_id, F.lit("")).cast("binary"))
     out = out.withColumn("__all", F.col("__copies") + ((key <= F.col("__cut")) | (key == F.col("__fill"))).cast("long"))
-    return out.select(*[col[n].alias(n) for n in names], size_of(col["text"]).alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__all").alias("copies"))
+    values = (size_of(col["text"]), F.col("__source_size"), F.col("__target"), F.col("__all"))
+    return out.select(*[col[n].alias(n) for n in names], *[v.alias(n) for v, n in zip(values, added, strict=True)])

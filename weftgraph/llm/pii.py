@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, shield
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 
@@ -146,8 +146,10 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; a null text stays null."""
-    found = find(docs)
-    return found.select(*[redacted(F.col("text"), F.col("spans")).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    own, names = shield(docs, "text")
+    found = find(own)
+    out = found.select(*[F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("spans"))).alias(c) if c == "text" else F.col(c) for c in names])
+    return out.toDF(*docs.columns)
 
 
 def digest(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:

@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, text_column, written
-from .components import components
+from ..plans.components import components
+from .common import pick, shield, small_batches, text_column, written
 
 SHINGLE = 3
 SEED = 42
@@ -141,8 +141,10 @@ def representatives(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, and of
     rows with that same id the one that is least by text and the other columns. Rows without an id can't be told
     apart by it and are all kept."""
-    best = near_duplicates(docs, bits).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count()
-    kept = docs.join(best, F.expr("doc_id = __id"))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    least = kept.where("count > 1").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in rest if c != "text"])).alias("__row"))
-    return kept.where("count = 1").select(*docs.columns).unionByName(least.select("doc_id", "__row.*")).unionByName(docs.where("doc_id is null"))
+    own, names = shield(docs, "doc_id", "text")
+    best = near_duplicates(own, bits).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    kept = own.join(best, F.expr("doc_id = __id"))
+    rest = ["text", *[c for c in names if c not in ("doc_id", "text")]]
+    least = kept.where("__n > 1").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row"))
+    out = kept.where("__n = 1").select(*names).unionByName(least.select("doc_id", "__row.*")).unionByName(own.where("doc_id is null"))
+    return out.select(*names).toDF(*docs.columns)

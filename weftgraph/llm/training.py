@@ -14,6 +14,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     Null and contradicting labels are left out, repeated ones count once; of rows with one doc_id the least text counts.
     """
+    labels = pick(labels, "doc_id", label)
     own = labels.where(allowed) if allowed is not None else labels
     own = own.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("__most")).where("y = __most")
     own = own.select(F.col("doc_id").alias("__id"), F.col("y").cast("int").alias("y"), F.xxhash64("doc_id").alias("place"))
