@@ -147,3 +147,15 @@ select community, folder || ': ' || (select min(sig) from m where m.community =
 def community_labels(spark, d):
     n = nodes(spark, d).where("kind = 'class'")
     return tr.community_labels(n.select("id", F.col("complexity").alias("community")), n)
+
+
+@query("""with e as (select distinct 'py:sales/' || o_custkey || '::' || o_orderkey as src, c_name as dst, o_orderkey % 3 as k from orders join customer on o_custkey = c_custkey where o_orderkey % 5 = 0),
+c as (select c_name, min('py:crm/' || c_nationkey || '::' || c_name) as id, count(*) as n from customer group by 1)
+select src, case when k = 0 then 'ext:py:unresolved:gone_' || dst else id end as dst, 'CALLS' as type, case when k = 0 then 'external' when n > 1 then 'ambiguous' else 'resolved' end as confidence from e join c on c_name = dst""")
+def resolve_symbols(spark, d):
+    from ..plans.resolve import resolve
+
+    o = table(spark, d, "orders").where("o_orderkey % 5 = 0").join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey"))
+    name = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("gone_"), "c_name")).otherwise(F.col("c_name"))
+    raw = o.select(F.concat(F.lit("py:sales/"), "o_custkey", F.lit("::"), "o_orderkey").alias("src"), name.alias("dst"), F.lit("CALLS").alias("type"), F.lit("unresolved").alias("confidence"))
+    return resolve(nodes(spark, d).select("id", "kind", "file"), raw)[0]
