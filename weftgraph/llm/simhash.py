@@ -142,9 +142,10 @@ def representatives(docs: DataFrame, bits: int = BITS) -> DataFrame:
     rows with that same id the one that is least by text and the other columns. Rows without an id can't be told
     apart by it and are all kept."""
     own, names = shield(docs, "doc_id", "text")
-    best = near_duplicates(own, bits).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    kept = own.join(best, F.expr("doc_id = __id"))
-    rest = ["text", *[c for c in names if c not in ("doc_id", "text")]]
-    least = kept.where("__n > 1").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row"))
-    out = kept.where("__n = 1").select(*names).unionByName(least.select("doc_id", "__row.*")).unionByName(own.where("doc_id is null"))
-    return out.select(*names).toDF(*docs.columns)
+    best, _ = written(near_duplicates(own, bits).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")), "best")
+    out = own.join(best.where("__n = 1"), F.expr("doc_id = __id")).select(*names).unionByName(own.where("doc_id is null"))
+    if not best.where("__n > 1").isEmpty():  # texts are compared only where ids repeat
+        rest = ["text", *[c for c in names if c not in ("doc_id", "text")]]
+        least = own.join(best.where("__n > 1"), F.expr("doc_id = __id")).groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row"))
+        out = out.unionByName(least.select("doc_id", "__row.*").select(*names))
+    return out.toDF(*docs.columns)
