@@ -30,8 +30,8 @@ END_ID = 1
 QUEUES = 1024
 #: Rows of the table of queue offsets up to which it is broadcast (about 40 bytes each).
 BROADCAST_ROWS = 200_000
-#: Words whose ids a worker remembers (about 120 bytes each).
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers (about 150 bytes each).
+REMEMBERED = 150_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -57,13 +57,15 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.dtype = np.uint16 if self.full.get_vocab_size() <= 1 << 16 else np.uint32
-        self.latin = None
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.path, self._full, self.latin = path, None, None
+        self.special = [t["content"] for t in file["added_tokens"]]
+        largest = max([len(file["model"]["vocab"]) - 1, *(t["id"] for t in file["added_tokens"])])
+        self.dtype = np.uint16 if largest < 1 << 16 else np.uint32
+        del file
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import base64
@@ -76,6 +78,16 @@ class Encoder:
             self.latin = tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.rest, self.head = _Pieces(self._piece, " "), _Pieces(self._piece, "")
 
+    @property
+    def full(self):
+        """The tokenizer itself, loaded when a text first needs it."""
+        if self._full is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
+            from tokenizers import Tokenizer
+
+            self._full = Tokenizer.from_file(self.path)
+        return self._full
+
     def _piece(self, text: str) -> bytes | None:
         return None if any(s in text for s in self.special) else self._encode(text)
 
