@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, media, mixing, packing, pii, quality, simhash, toxicity
+from . import chat, licenses, lm, media, mixing, packing, pii, quality, simhash, toxicity
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(read(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_media, op3_quality, op4_lm, op5_pii, op6_toxicity, op7_chat, op8_packing, op9_mixing, op10_simhash, pipeline]
+    named = [op1_media, op2_licenses, op3_quality, op4_lm, op5_pii, op6_toxicity, op7_chat, op8_packing, op9_mixing, op10_simhash, pipeline]
     return {f.__name__: f for f in named}
 
 
