@@ -8,6 +8,7 @@ from ..functions import confidence as c
 from ..plans import traverse as tr
 from ..plans.components import components
 from ..sources.graph_views import edges, nodes, table
+from ..sources.tables import written
 from .registry import query
 
 _TYPE = "case type when 'CALLS' then 0.95::double when 'INHERITS' then 0.95::double when 'DEFINED_IN' then 0.95::double when 'WRITES' then 0.85::double when 'IMPORTS' then 0.80::double else 0.80::double end"
@@ -47,17 +48,25 @@ select id, kind, file, distance, n_paths, confidence, round(confidence * exp(-0.
 case when confidence < 0.2 then 'excluded' when distance = 1 and confidence >= 0.5 then 'direct' else 'indirect' end as category from g left join nodes using (id)""", views=True)
 def blast_radius_open(spark, d):
     """Two hops without guards."""
-    return tr.blast_radius(nodes(spark, d), edges(spark, d), _order(spark, d), 2, degree_limit=None, fanout=None, paths=None)
+    n, e = _stored(spark, d)
+    return tr.blast_radius(n, e, _order(spark, d), 2, degree_limit=None, fanout=None, paths=None)
+
+
+def _stored(spark, d):
+    """The views as tables, since every level of a traversal reads them."""
+    return written(nodes(spark, d), "nodes")[0], written(edges(spark, d), "edges")[0]
 
 
 @query()
 def blast_radius(spark, d):
-    return tr.blast_radius(nodes(spark, d), edges(spark, d), _order(spark, d))
+    n, e = _stored(spark, d)
+    return tr.blast_radius(n, e, _order(spark, d))
 
 
 @query()
 def blast_summary(spark, d):
-    return tr.blast_summary(tr.blast_radius(nodes(spark, d), edges(spark, d), _order(spark, d), rules=["supply/"], degree_limit=None, max_depth=3))
+    n, e = _stored(spark, d)
+    return tr.blast_summary(tr.blast_radius(n, e, _order(spark, d), rules=["supply/"], degree_limit=None, max_depth=3))
 
 
 _SEED = "(select min(id) from nodes where kind = 'sql_table')"

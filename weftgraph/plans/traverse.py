@@ -148,11 +148,14 @@ def cycles(links: DataFrame, longest: int = 6) -> DataFrame:
     """(length, cycle): elementary cycles of distinct links (src, dst) of 2 to ``longest`` nodes, each once, from its
     least node and closed with it. Paths only grow over nodes above their first, and only where the first is reachable
     at all: nodes without a way in or out are peeled off first."""
-    e = links.where("src <> dst").select("src", "dst").distinct()
+    e, _ = written(links.where("src <> dst").select("src", "dst").distinct(), "links")
+    n = e.count()
     for _ in range(longest):
-        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    e, _ = written(e, "links")
+        both = e.select("src").intersect(e.select("dst")).toDF("__id")
+        less, _ = written(e.join(both, F.expr("src = __id"), "left_semi").join(both, F.expr("dst = __id"), "left_semi"), "links")
+        before, n, e = n, less.count(), less
+        if n == before:
+            break
     paths = e.where("dst > src").select(F.array("src", "dst").alias("path"))
     out = None
     for length in range(2, longest + 1):
