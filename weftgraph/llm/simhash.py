@@ -143,7 +143,8 @@ def representatives(docs: DataFrame, bits: int = BITS) -> DataFrame:
     apart by it and are all kept."""
     own, names = shield(docs, "doc_id", "text")
     best, _ = written(near_duplicates(own, bits).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")), "best")
-    out = own.join(best.where("__n = 1"), F.expr("doc_id = __id")).select(*names).unionByName(own.where("doc_id is null"))
+    # one id for each component, so the table grows with the documents: shuffled at every size
+    out = own.join(best.where("__n = 1").hint("merge"), F.expr("doc_id = __id")).select(*names).unionByName(own.where("doc_id is null"))
     if not best.where("__n > 1").isEmpty():  # texts are compared only where ids repeat
         rest = ["text", *[c for c in names if c not in ("doc_id", "text")]]
         least = own.join(best.where("__n > 1"), F.expr("doc_id = __id")).groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row"))
