@@ -136,6 +136,43 @@ def test_least_level_fits():
     assert m > 0 and sum(levels[m + k] * (k + 1) for k in range(5 - m)) <= 700
 
 
+def test_model_holds_all_words_and_pairs(spark, monkeypatch):
+    """Counts down to 1 and words outside the vocabulary are in the filter, whatever its size."""
+    monkeypatch.setattr(lm, "VOCABULARY", 50)
+    monkeypatch.setattr(lm, "RANGE_TOKENS", 200)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 40).clip(1, 10**6)) for _ in range(600)]
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, _ = lm.fit(train)
+    step = lm.Step.of(pa.array(texts), model.vocab)
+    assert 0 < len(model.vocab.hashes) <= 50 and lm.ranges_for(model.vocab.tokens) == 128
+    held = {r.range: lm.Filter(np.frombuffer(r.bits, np.uint8)) for r in model.blocks.collect()}
+    level = {}
+    for part in np.unique(step.parts):
+        own = step.keys[step.parts == part]
+        level.update(zip(own.tolist(), held[part].levels(lm._short(own)).tolist(), strict=True))
+    n = collections.Counter()
+    for h, _, _, pair in step.slices:
+        n.update(lm.word_key(h).tolist())
+        n.update(pair.tolist())
+    assert set(n) == set(level) and min(n.values()) == 1
+    want = {k: int(lm.level(np.array([c]))[0]) + 1 for k, c in n.items()}
+    assert all(level[k] >= want[k] for k in n) and np.mean([level[k] == want[k] for k in n]) > 0.8
+    # the share that the pairs hold, by level of all words that lead them
+    word, pairs = collections.Counter(), collections.Counter()
+    for t in texts:
+        x = [None, *t.split(), None]
+        word.update(x[1:])
+        pairs.update(zip(x, x[1:], strict=False))
+    of = lambda w: min(int(lm.level(np.array([word[w]]))[0]) // 2, 31)
+    total, kept = np.zeros(32), np.zeros(32)
+    for w, c in word.items():
+        total[of(w)] += c
+    for (w, _), c in pairs.items():
+        kept[of(w)] += c - lm.DISCOUNT
+    assert np.allclose(model.kept, kept / np.maximum(total, 1))
+
+
 # 5 personal data
 
 

@@ -1,14 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds the counts of words and pairs of words on a logarithmic scale: an n-gram of level q (its count lies
-between BASE**(q-1) and BASE**q times the least count kept) is entered q times, each time with its level. A count is
-read back by probing levels 1, 2, ... until one is missing, so errors only ever raise a count, and a raise by r levels
-needs r false answers in a row. The filter has a fixed number of bits, in 64 blocks that are built apart and broadcast
-together. At any size of corpus, the least count that is kept follows from the counts' distribution, so that the
-entries fill the filter to about one half.
+The filter holds the counts of all words and pairs of words on a logarithmic scale: an n-gram of level q (its count lies
+between BASE**(q-1) and BASE**q) is entered q times, each time with its level. A count is read back by probing levels
+1, 2, ... until one is missing, so errors only ever raise a count, and a raise by r levels needs r false answers in a
+row. The filter grows with the corpus: it lies in ranges of hashes, as many as the training tokens ask for, and each
+range has the bits that its own entries half fill. It is never in one place. Texts are taken in steps of a few MB: a
+step asks each range for the levels of its distinct n-grams in a join on the range, and the answers meet the step's
+texts in a join on the step.
 
-A pair's probability is its discounted count over its first word's, plus what the discounts and the pairs left out
-leave over (by level of the first word, from the training counts) times the word's own smoothed probability.
+A pair's probability is its discounted count over its first word's, plus what the discounts leave over (by level of the
+first word, from the training counts) times the word's own smoothed probability.
 
 Beside the model, the exact smoothed unigram score: the counts of a vocabulary of bounded size go to all workers, and
 the rarer words of the documents meet theirs in a join.
@@ -18,33 +19,33 @@ Words are known by 64-bit hashes; for a billion distinct words the chance of any
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of, pick, remove, small_batches, text_column, written
+from .common import crc_of, pick, small_batches, text_column, written
 from .textvec import mix, words_of
 
-#: Bits of the filter (16 MB), of one of its blocks, and probes of an entry.
-FILTER_BITS, BLOCKS, PROBES = 27, 64, 3
-BLOCK_BITS = FILTER_BITS - 6
-#: Entries of words, and of pairs, that half fill the filter together.
+#: Probes of an entry; bits of a filter where its size isn't given, and the entries of one kind that fill it a quarter.
+FILTER_BITS, PROBES = 27, 3
 CAPACITY = int((1 << FILTER_BITS) * np.log(2) / PROBES / 2)
 BASE = 2.0**0.5
-#: Words at most whose exact counts every worker holds (16 bytes each); pairs are of such words.
+#: Words at most whose exact counts every worker holds (16 bytes each).
 VOCABULARY = 1 << 18
-#: Pairs seen less often are not part of the model.
-LEAST_PAIR = 2
 DISCOUNT, ALPHA = 0.75, 0.1
 #: Tokens that a task counts before it passes the counts on.
 AT_ONCE = 1 << 22
-#: Training tokens for each range of pairs that one task merges.
+#: Training tokens for each range of hashes, which one task merges and answers for.
 RANGE_TOKENS = 1 << 21
+#: Bytes of the texts of a step.
+STEP_BYTES = 6 << 20
 END = np.uint64(0x1F83D9ABFB41BD6B)
 _WORD, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -71,12 +72,33 @@ def level(count: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(count, 1)) * 2 + 1e-9).astype(np.int64)
 
 
-def _blobs(part: np.ndarray, a: np.ndarray, b: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """A row for each run of equal parts: the part, and the bytes of its stretches of ``a`` and ``b``."""
+def leads(h: np.ndarray, first: np.ndarray, at: np.ndarray, end_at: int) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each one, the end before a text's first, and its place in the vocabulary."""
+    lead, lead_at = np.concatenate([[END], h[:-1]]).astype(np.uint64), np.concatenate([[-1], at[:-1]])
+    lead[first[:-1]], lead_at[first[:-1]] = END, end_at
+    return lead, lead_at
+
+
+def _part(key: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of keys by their top bits; ``ranges`` is a power of two."""
+    return (key >> np.uint64(65 - ranges.bit_length())).astype(np.int64)
+
+
+def _cut(part: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The distinct parts in order, and for each column the bytes of each part's stretch; ``part`` is sorted."""
     edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
     ends = np.append(edge[1:], len(part))[: len(edge)]
-    cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(edge, ends, strict=True)], pa.binary())
-    return pa.record_batch([pa.array(part[edge]), cut(a), cut(b)], names)
+    return part[edge], [pa.array([x[i:j].tobytes() for i, j in zip(edge, ends, strict=True)], pa.binary()) for x in columns]
+
+
+def _short(key: np.ndarray) -> np.ndarray:
+    """The 40 bits of keys that tell them apart within a range, above a pair's free bits and below the range's."""
+    return key >> np.uint64(5) & np.uint64((1 << 40) - 1)
+
+
+def _joined(column, kind: type) -> np.ndarray:
+    """The numbers of all blobs of a column."""
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in column]])
 
 
 def _merge(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,62 +169,125 @@ def vocabulary(words: DataFrame) -> Vocabulary:
     return Vocabulary(h[order], n[order], int(all_ or 0), int(distinct))
 
 
-def pair_counts(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """A row for each range of hashes: the pairs of vocabulary words seen ``LEAST_PAIR`` times or more, as (hashes,
-    counts), and the discounted counts by the level of the pair's first word (64 doubles)."""
+def ranges_for(tokens: int) -> int:
+    """Ranges of hashes for a number of training tokens."""
     ranges = 64
-    while ranges * RANGE_TOKENS < vocab.tokens:
+    while ranges * RANGE_TOKENS < tokens:
         ranges *= 2
-    shift, shared = np.uint64(64 - ranges.bit_length() + 1), docs.sparkSession.sparkContext.broadcast(vocab)
+    return ranges
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = shared.value, []
 
-        def out() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            held.clear()
-            part = (h >> shift).astype(np.int64)
-            return _blobs(part, h, n.astype(np.uint32), ["range", "hashes", "counts"])
+#: Kinds of counts: pairs led by a word of the vocabulary, by its level; pairs led by another word, with it; words.
+_TAGGED, _LED, _WORDS = range(3)
+
+
+def blocks(docs: DataFrame, words: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(range, bits, kept): the filter's block for each range of hashes, with all words and pairs of ``docs`` in it, and
+    the pairs' discounted counts by the level of their first word (32 doubles).
+
+    A pair lies in the range of its own hash where its first word is in the vocabulary, and otherwise in the range of
+    its first word, whose pairs then give its count: a word that is followed by something each time it occurs.
+    """
+    ranges, shared = ranges_for(vocab.tokens), docs.sparkSession.sparkContext.broadcast(vocab)
+    schema = "range long, kind int, keys binary, counts binary, leads binary"
+    names = ["range", "kind", "keys", "counts", "leads"]
+
+    def rows(kind: int, part: np.ndarray, key: np.ndarray, n: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(part, kind="stable")
+        part, cols = _cut(part[order], key[order], n[order].astype(np.int64), lead[order] if len(lead) else lead)
+        return pa.record_batch([pa.array(part), pa.array(np.full(len(part), kind, np.int32)), *cols], names)
+
+    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, none = shared.value, np.zeros(0, np.uint64)
+        end_at, tagged, led, lead_of, size = own.find(np.array([END]))[0], [none], [none], [none], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, n = np.unique(np.concatenate(tagged), return_counts=True)
+            yield rows(_TAGGED, _part(h, ranges), h, n, none)
+            h, i, n = np.unique(np.concatenate(led), return_index=True, return_counts=True)
+            lead = np.concatenate(lead_of)[i]
+            yield rows(_LED, _part(word_key(lead), ranges), h, n, lead)
+            for held in (tagged, led, lead_of):
+                del held[1:]
 
         for batch in batches:
             for h, first in token_hashes(text_column(batch)):
-                at = own.find(h)
-                lead = np.concatenate([[-1], at[:-1]])
-                lead[first[:-1]] = own.find(np.array([END]))[0]
-                both = (at >= 0) & (lead >= 0)
+                lead, lead_at = leads(h, first, own.find(h), end_at)
+                pair, of = pair_hashes(h, first), lead_at >= 0
                 # the low five bits, free in a pair's hash, carry the level of its first word
-                tag = np.minimum(level(own.counts[lead[both]]) // 2, 31).astype(np.uint64)
-                held.append(pair_hashes(h, first)[both] | tag)
-                if sum(map(len, held)) >= AT_ONCE:
-                    yield out()
-        yield out()
+                tagged.append(pair[of] | np.minimum(level(own.counts[lead_at[of]]) // 2, 31).astype(np.uint64))
+                led.append(pair[~of])
+                lead_of.append(lead[~of])
+                size += len(h)
+                if size >= AT_ONCE:
+                    yield from out()
+                    size = 0
+        yield from out()
 
-    def merge(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("hashes").chunks for x in c])
-        n = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for c in table.column("counts").chunks for x in c]).astype(np.int64)
-        h, n = _merge(h, n)
-        keep = n >= LEAST_PAIR
-        h, n = h[keep], n[keep]
-        by_level = np.bincount((h & np.uint64(31)).astype(np.int64), n - DISCOUNT, minlength=32)
-        levels = np.bincount(level(n), minlength=128)
-        return pa.table({"range": [table.column("range")[0].as_py()], "hashes": pa.array([(h & ~np.uint64(31)).tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "kept": [by_level.astype(float).tolist()], "levels": [levels.tolist()]})
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-    found = docs.mapInArrow(count, "range long, hashes binary, counts binary")
-    return found.groupBy("range").applyInArrow(merge, "range long, hashes binary, counts binary, kept array<double>, levels array<long>")
+        def out() -> pa.RecordBatch:
+            h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            key = word_key(h)
+            return rows(_WORDS, _part(key, ranges), key, n, np.zeros(0, np.uint64))
+
+        for batch in batches:
+            held.append((np.array(batch.column(0)).view(np.uint64), np.array(batch.column(1))))
+            size += batch.num_rows
+            if size >= AT_ONCE:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    def block(table: pa.Table) -> pa.Table:
+        get = lambda kind, *cols: (_joined(table.filter(pc.equal(table["kind"], kind))[c], np.int64 if c == "counts" else np.uint64) for c in cols)
+        h, n = _merge(*get(_TAGGED, "keys", "counts"))
+        kept = np.bincount((h & np.uint64(31)).astype(np.int64), n - DISCOUNT, minlength=32).astype(float)
+        led, m, lead = get(_LED, "keys", "counts", "leads")
+        led, i, back = np.unique(led, return_index=True, return_inverse=True)
+        m, lead = np.bincount(back, m, len(led)).astype(np.int64), lead[i]
+        _, back = np.unique(lead, return_inverse=True)
+        kept += np.bincount(np.minimum(level(np.bincount(back, m)) // 2, 31)[back], m - DISCOUNT, minlength=32)
+        word, c = get(_WORDS, "keys", "counts")
+        bits = filled(_short(np.concatenate([h, led, word])), level(np.concatenate([n, m, c])) + 1)
+        return pa.table({"range": [table["range"][0].as_py()], "bits": pa.array([bits.tobytes()], pa.binary()), "kept": [kept.tolist()]})
+
+    counts = docs.mapInArrow(of_pairs, schema).unionByName(words.select("hash", "n").mapInArrow(of_words, schema))
+    return counts.groupBy("range").applyInArrow(block, "range long, bits binary, kept array<double>")
 
 
 def least_level(levels: np.ndarray, capacity: int = CAPACITY) -> int:
-    """The least level to keep so that the entries (1 for it, 2 for the next ...) are ``capacity`` at most."""
+    """The least level to keep so that the entries (1 for it, 2 for the next ...) are ``capacity`` at most: for filters
+    of a given size. The model keeps every level."""
     m = 0
     while (levels[m:] * np.arange(1, len(levels) - m + 1)).sum() > capacity:
         m += 1
     return m
 
 
-def _places(key: np.ndarray, q: int, probe: int) -> np.ndarray:
-    """Bits for level q of keys: the block is in the key's top bits, the place inside is hashed anew."""
-    inside = mix(key + np.uint64((q * PROBES + probe + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(64 - BLOCK_BITS)
-    return (key >> np.uint64(58) << np.uint64(BLOCK_BITS)) | inside
+def _places(key: np.ndarray, q: int, probe: int, size: int = 1 << FILTER_BITS) -> np.ndarray:
+    """Bits for level q of keys in a filter of ``size`` bits."""
+    inside = mix(key + np.uint64((q * PROBES + probe + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(32)
+    return inside * np.uint64(size) >> np.uint64(32)
+
+
+def filled(key: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The bytes of a filter that the entries of keys, one for each level from 1 on, fill to about one half."""
+    size = 8 * max(8, int(np.ceil(levels.sum() * PROBES / np.log(2) / 8)))
+    bits = np.zeros(size, bool)
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        key, levels = key[levels >= q], levels[levels >= q]
+        for probe in range(PROBES):
+            bits[_places(key, q, probe, size)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def quantised(levels: np.ndarray, least: int = 0) -> np.ndarray:
+    """Counts of levels that were read: the geometric middle of the level, 1 for the counts of level 0 alone, 0 where absent."""
+    q = levels.astype(np.int64) + least - 1
+    return np.where(q < least, 0.0, np.where(q == 0, 1.0, BASE ** (q + 0.5)))
 
 
 @dataclass(frozen=True)
@@ -210,110 +295,81 @@ class Filter:
     """bits, and the least levels of words and of pairs that it holds."""
 
     bits: np.ndarray
-    least_word: int
-    least_pair: int
+    least_word: int = 0
+    least_pair: int = 0
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """How many levels from 1 on each key has; 0 for keys that aren't in it."""
         out, left, q = np.zeros(len(key), np.int64), np.arange(len(key)), 1
-        while len(left):
+        while len(left) and q < 128:
             for probe in range(PROBES):
-                at = _places(key[left], q, probe)
+                at = _places(key[left], q, probe, 8 * len(self.bits))
                 left = left[self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
             out[left] = q
             q += 1
         return out
 
-    def counts(self, key: np.ndarray, least: int) -> np.ndarray:
-        """Quantised counts: the geometric middle of the level, 1 for the counts of level 0 alone, 0 where absent."""
-        q = self.levels(key) + least - 1
-        return np.where(q < least, 0.0, np.where(q == 0, 1.0, BASE ** (q + 0.5)))
-
 
 def word_key(h: np.ndarray) -> np.ndarray:
     return mix(h ^ _WORD)
 
 
-def build(words: DataFrame, pairs: DataFrame) -> Filter:
-    """The filter of all words and pairs at or above their least levels; 64 blocks come to the driver."""
-    word_levels = np.zeros(128, np.int64)
-    lvl = F.floor(F.log2("n") * 2 + 1e-9)
-    for q, n in words.groupBy(lvl.alias("q")).count().collect():
-        word_levels[q] = n
-    pair_levels = np.zeros(128, np.int64)
-    for r in pairs.select(F.posexplode("levels").alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect():
-        pair_levels[r.q] = r.n
-    lw, lp = least_level(word_levels), least_level(pair_levels)
-
-    def blobs(key: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(key)
-        key, q = key[order], q[order].astype(np.uint8)
-        yield _blobs((key >> np.uint64(58)).astype(np.int64), key, q, ["block", "keys", "levels"])
-
-    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append((np.array(batch.column(0)).view(np.uint64), np.array(batch.column(1))))
-            size += batch.num_rows
-            if size >= AT_ONCE:
-                h, n = (np.concatenate(x) for x in zip(*held, strict=True))
-                yield from blobs(word_key(h), level(n) - lw + 1)
-                held, size = [], 0
-        if held:
-            h, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from blobs(word_key(h), level(n) - lw + 1)
-
-    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, n in zip(batch.column(0), batch.column(1), strict=True):
-                key, q = np.frombuffer(h.as_buffer(), np.uint64), level(np.frombuffer(n.as_buffer(), np.int64)) - lp + 1
-                yield from blobs(key[q > 0], q[q > 0])
-
-    def block(table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << BLOCK_BITS, bool)
-        for keys, qs in zip(table.column("keys").to_pylist(), table.column("levels").to_pylist(), strict=True):
-            key, q = np.frombuffer(keys, np.uint64), np.frombuffer(qs, np.uint8)
-            for one in range(1, int(q.max(initial=0)) + 1):
-                own = key[q >= one]
-                for probe in range(PROBES):
-                    bits[_places(own, one, probe) & np.uint64((1 << BLOCK_BITS) - 1)] = True
-        return pa.table({"block": [table.column("block")[0].as_py()], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    schema = "block long, keys binary, levels binary"
-    entries = words.where(lvl >= lw).select("hash", "n").mapInArrow(of_words, schema).unionByName(pairs.select("hashes", "counts").mapInArrow(of_pairs, schema))
-    bits = np.zeros((BLOCKS, (1 << BLOCK_BITS) // 8), np.uint8)
-    for r in entries.groupBy("block").applyInArrow(block, "block long, bits binary").collect():
-        bits[r.block] = np.frombuffer(r.bits, np.uint8)
-    return Filter(bits.ravel(), lw, lp)
-
-
 @dataclass(frozen=True)
 class Model:
-    """kept: by level of a word, the share of its followers' count that the pairs of the model hold."""
+    """kept: by level of a word, the share of its followers' count that the pairs hold; blocks: the table of the filter."""
 
     vocab: Vocabulary
-    filter: Filter
     kept: np.ndarray
+    blocks: DataFrame
+
 
-    def log_probabilities(self, h: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability; ``at``: the tokens' places in the vocabulary."""
-        v = self.vocab
+@dataclass(frozen=True)
+class Step:
+    """The tokens of some texts, in slices (hashes, first of each text, places in the vocabulary, pairs), and their
+    distinct n-grams: keys, sorted, and ranges."""
+
+    slices: list[tuple[np.ndarray, ...]]
+    keys: np.ndarray
+    parts: np.ndarray
+
+    @staticmethod
+    def of(texts: pa.Array, vocab: Vocabulary) -> Step:
+        ranges, end_at, slices, keys, parts = ranges_for(vocab.tokens), vocab.find(np.array([END]))[0], [], [], []
+        for h, first in token_hashes(texts):
+            at = vocab.find(h)
+            lead, lead_at = leads(h, first, at, end_at)
+            pair, word = pair_hashes(h, first), word_key(np.unique(h))
+            slices.append((h, first, at, pair))
+            keys += [word, pair]
+            parts += [_part(word, ranges), _part(np.where(lead_at >= 0, pair, word_key(lead)), ranges)]
+        key, i = np.unique(np.concatenate(keys), return_index=True)
+        return Step(slices, key, np.concatenate(parts)[i])
+
+    def by_part(self) -> np.ndarray:
+        """The order of the keys in which they are asked."""
+        return np.argsort(self.parts, kind="stable")
+
+
+def log_probabilities(vocab: Vocabulary, kept: np.ndarray, step: Step, levels: np.ndarray) -> Iterator[np.ndarray]:
+    """log10 of each token's probability, by slice of the step; ``levels`` are those of its keys."""
+    count = quantised(levels)
+    read = lambda key: count[np.searchsorted(step.keys, key)]
+    end_at, end_c = vocab.find(np.array([END]))[0], read(word_key(np.array([END])))[0]
+    for h, first, at, pairs in step.slices:
         # many tokens are the same few words
         distinct, inverse = np.unique(h, return_inverse=True)
-        c = self.filter.counts(word_key(distinct), self.filter.least_word)[inverse]
-        p = np.minimum((c + ALPHA) / (v.tokens + ALPHA * (v.distinct + 1)), 1.0)
-        lead_at = np.concatenate([[-1], at[:-1]])
+        c = read(word_key(distinct))[inverse]
+        p = np.minimum((c + ALPHA) / (vocab.tokens + ALPHA * (vocab.distinct + 1)), 1.0)
+        _, lead_at = leads(h, first, at, end_at)
         lead_c = np.concatenate([[0.0], c[:-1]])
-        end = np.array([END])
-        lead_at[first[:-1]] = v.find(end)[0]
-        lead_c[first[:-1]] = self.filter.counts(word_key(end), self.filter.least_word)[0]
-        use = np.flatnonzero((lead_at >= 0) & (lead_c > 0))
-        both = use[at[use] >= 0]
-        share = self.kept[np.minimum(level(v.counts[lead_at[use]]) // 2, 31)]
-        p[use] *= 1 - share
-        pair = self.filter.counts(pair_hashes(h, first)[both], self.filter.least_pair)
-        p[both] += np.minimum(np.maximum(pair - DISCOUNT, 0) / np.maximum(lead_c[both], 1), 1.0) * (pair > 0)
-        return np.log10(np.clip(p, 1e-300, 1.0))
+        lead_c[first[:-1]] = end_c
+        exact = lead_c.copy()
+        exact[lead_at >= 0] = vocab.counts[lead_at[lead_at >= 0]]
+        p = np.where(lead_c > 0, p * (1 - kept[np.minimum(level(exact) // 2, 31)]), p)
+        # a pair is no more frequent than its words, whatever the filter says
+        pair = np.minimum(read(pairs), np.minimum(c, lead_c))
+        p += np.minimum(np.maximum(pair - DISCOUNT, 0) / np.maximum(lead_c, 1), 1.0)
+        yield np.log10(np.clip(p, 1e-300, 1.0))
 
 
 def held_out(doc_id="doc_id"):
@@ -323,18 +379,17 @@ def held_out(doc_id="doc_id"):
 
 def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     """A model of all rows of ``train`` (doc_id, text), and the table (hash, n) of its words."""
-    spark = train.sparkSession
-    small_batches(spark)
+    small_batches(train.sparkSession)
     words, _ = written(word_counts(train), "words")
     vocab = vocabulary(words)
-    pairs, pairs_path = written(pair_counts(train, vocab), "pairs")
-    kept = np.zeros(32)
-    for q, n in pairs.select(F.posexplode("kept").alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect():
+    table, _ = written(blocks(train, words, vocab), "blocks")
+    kept, total = np.zeros(32), np.zeros(32)
+    for q, n in table.select(F.posexplode("kept").alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect():
         kept[q] = n
-    total = np.bincount(np.minimum(level(vocab.counts) // 2, 31), vocab.counts, minlength=32)
-    model = Model(vocab, build(words, pairs), np.clip(kept / np.maximum(total, 1), 0, 0.999))
-    remove(spark, pairs_path)
-    return model, words
+    lvl = F.least(F.floor(F.floor(F.log2("n") * 2 + 1e-9) / 2), F.lit(31))
+    for q, n in words.groupBy(lvl.alias("q")).agg(F.sum("n").alias("n")).collect():
+        total[q] = n
+    return Model(vocab, np.clip(kept / np.maximum(total, 1), 0, 0.999), table.select("range", "bits")), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
@@ -346,32 +401,58 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared, vocab = spark.sparkContext.broadcast(model), model.vocab
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, row = shared.value, TaskContext.get().partitionId() << 33
-        logs = np.log10(own.vocab.counts + ALPHA)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark removes the shuffles of the fit once the driver has dropped them
+    vocab = model.vocab
+    shared = spark.sparkContext.broadcast((vocab, model.kept))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, size = TaskContext.get().partitionId() << 33, 0
+        base = row
         for batch in batches:
-            n, known, base, scores, rare, ends = [], [], [], [], [], [np.zeros(1, np.int64)]
-            for h, first in token_hashes(text_column(batch)):
-                at = own.vocab.find(h)
-                inside = at >= 0
-                a, b = first[:-1], first[1:]
-                cum = lambda x: np.add.reduceat(x, a)  # noqa: B023, E731  no text is without tokens
-                n.append(b - a)
-                known.append(cum(inside.astype(np.int64)))
-                base.append(cum(np.where(inside, logs[at] if len(logs) else 0.0, 0.0)))
-                scores.append(cum(own.log_probabilities(h, first, at)))
-                rare.append(h[~inside])
-                ends.append(ends[-1][-1] + np.cumsum(cum((~inside).astype(np.int64))))
-            if n:
-                size = batch.num_rows
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(rare).view(np.int64)))
-                cols = [pa.array(np.arange(row, row + size)), batch.column(0), *[pa.array(np.concatenate(x)) for x in (n, known, base, scores)], lists]
-                row += size
-                yield pa.record_batch(cols, ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"])
-
-    table, _ = written(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>"), "scores")
+            texts = text_column(batch)
+            upto = size + np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+            yield pa.record_batch([pa.array(base + upto // STEP_BYTES), pa.array(np.arange(row, row + len(texts))), batch.column(0), texts], ["step", "row", "doc_id", "text"])
+            row, size = row + len(texts), int(upto[-1]) if len(upto) else size
+
+    def ask(table: pa.Table) -> pa.Table:
+        step = Step.of(text_column(table.combine_chunks().to_batches()[0]), shared.value[0])
+        order = step.by_part()
+        part, (keys,) = _cut(step.parts[order], _short(step.keys[order]).view(np.uint8).reshape(-1, 8)[:, :5])
+        return pa.table({"step": pa.array(np.full(len(part), table["step"][0].as_py())), "range": part, "keys": keys})
+
+    def answer(asked: pa.Table, block: pa.Table) -> pa.Table:
+        five = _joined(asked["keys"], np.uint8).reshape(-1, 5)
+        key = np.pad(five, ((0, 0), (0, 3))).view(np.uint64).ravel()
+        levels = Filter(np.frombuffer(block["bits"][0].as_buffer(), np.uint8)).levels(key) if block.num_rows else np.zeros(len(key), np.int64)
+        many = np.asarray(pc.binary_length(asked["keys"]), np.int64) // 5
+        of = [x.tobytes() for x in np.split(levels.astype(np.uint8), np.cumsum(many)[:-1])]
+        return pa.table({"step": asked["step"], "range": asked["range"], "levels": pa.array(of, pa.binary())})
+
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+        own, kept = shared.value
+        batch = table.combine_chunks().to_batches()[0]
+        step, logs = Step.of(text_column(batch), own), np.log10(own.counts + ALPHA)
+        levels = np.empty(len(step.keys), np.uint8)
+        levels[step.by_part()] = _joined(answers.sort_by("range")["levels"], np.uint8)
+        n, known, base, scores, rare, ends = [], [], [], [], [], [np.zeros(1, np.int64)]
+        for (h, first, at, _), p in zip(step.slices, log_probabilities(own, kept, step, levels), strict=True):
+            inside = at >= 0
+            cum = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023, E731  no text is without tokens
+            n.append(np.diff(first))
+            known.append(cum(inside.astype(np.int64)))
+            base.append(cum(np.where(inside, logs[at] if len(logs) else 0.0, 0.0)))
+            scores.append(cum(p))
+            rare.append(h[~inside])
+            ends.append(ends[-1][-1] + np.cumsum(cum((~inside).astype(np.int64))))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(rare).view(np.int64)))
+        return pa.table([table["row"], table["doc_id"], *[pa.array(np.concatenate(x)) for x in (n, known, base, scores)], lists], ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"])
+
+    texts, _ = written(docs.mapInArrow(number, "step long, row long, doc_id long, text string"), "texts")
+    asked = texts.groupBy("step").applyInArrow(ask, "step long, range long, keys binary")
+    answers = asked.groupBy("range").cogroup(model.blocks.groupBy("range")).applyInArrow(answer, "step long, range long, levels binary")
+    scored_ = texts.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(finish, "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>")
+    table, _ = written(scored_, "scores")
     rare = table.select("row", F.explode("rare").alias("hash")).join(words, "hash", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("more"), F.count("n").alias("also"))
     under = float(np.log10(vocab.tokens + ALPHA * (vocab.distinct + 1)))
