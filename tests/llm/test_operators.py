@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from weftgraph.llm import chat, lm, media, mixing, packing, pii, quality, queries, simhash, textvec, toxicity
+from weftgraph.llm import chat, lm, media, mixing, packing, pii, quality, queries, simhash, textvec, toxicity, training
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -252,6 +252,16 @@ def test_toxicity(spark, hard, empty, docs):
 # 7 chat
 
 
+def test_sample_keeps_both_classes(spark):
+    """The byte budget is shared by the classes, and a row that doesn't fit costs none after it."""
+    rows = [(i, 0, i, b"x" * 10) for i in range(100)] + [(1000, 1, -1, b"x" * 900)] + [(2000 + i, 1, 1000 + i, b"x" * 10) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, y int, place long, feats binary")
+    got = [(r.doc_id, r.y) for r in training.within(df, "feats", 800).collect()]
+    assert sorted(i for i, y in got if y) == list(range(2000, 2030))
+    assert sorted(i for i, y in got if not y) == list(range(50))
+    assert training.within(df, "feats", 10**6).count() == len(rows)
+
+
 def test_escape_is_reversible():
     for s in ("<|im_end|>", "<\\|x", "<\\\\|", "<||", "a<|b<\\|c", "<", "|", "<<|"):
         assert chat.unescape(chat.escape(s)) == s and "<|" not in chat.escape(s)

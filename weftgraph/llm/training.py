@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, written
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column | None = None) -> DataFrame:
@@ -25,6 +25,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 
 def within(rows: DataFrame, column: str, most: int) -> DataFrame:
-    """The first rows by ``place`` whose bytes in ``column`` sum to ``most`` at most: what the driver can hold."""
-    upto = Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__sum", F.sum(F.octet_length(column)).over(upto)).where(F.col("__sum") <= most).drop("__sum")
+    """Rows of labels 0 and 1 whose bytes in ``column`` sum to ``most`` at most: what the driver can hold. Each label
+    has half of it and then what the other one leaves; by ``place``, and a row that doesn't fit is passed over."""
+    rows, _ = written(rows, "sample")
+    sizes = sorted(rows.select("place", "doc_id", "y", F.octet_length(column)).collect())  # rows of a bounded sample
+    room, left, chosen = {0: most // 2, 1: most - most // 2}, [], []
+    for place, i, y, size in sizes:
+        if size <= room[y]:
+            room[y] -= size
+            chosen.append(i)
+        else:
+            left.append((i, size))
+    rest = sum(room.values())
+    for i, size in left:
+        if size <= rest:
+            rest -= size
+            chosen.append(i)
+    if len(chosen) == len(sizes):
+        return rows
+    ids = rows.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    return rows.join(F.broadcast(ids), "doc_id", "left_semi")
