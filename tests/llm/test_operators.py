@@ -346,11 +346,57 @@ def test_encoder_is_the_tokenizer():
         assert e.ids(t).tolist() == e.full.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-def test_schedule():
-    for total, share in (([5000, 30, 700, 1], None), ([100, 100, 100], [8, 1, 1]), ([3], None), ([1] * 50, None)):
-        s = packing.Schedule(np.array(total), None if share is None else np.array(share, float), 64)
-        a = s.served(np.arange(s.windows + 1))
-        assert (a.sum(1) == np.minimum(np.arange(s.windows + 1) * 64, sum(total))).all() and (np.diff(a, axis=0) >= 0).all() and (a[-1] == total).all()
+def by_rounds(total, share, length):
+    """Plain deficit round-robin, one window after the other."""
+    left, deficit, out = np.array(total), np.zeros(len(total)), []
+    while left.any():
+        room = min(length, int(left.sum()))
+        own = np.where(left > 0, share, 0.0)
+        served, deficit = packing.serve(own / own.sum() * room, deficit, room, left)
+        left = left - served
+        deficit[left == 0] = 0
+        out.append(served)
+    return np.array(out)
+
+
+@pytest.mark.parametrize(
+    ("total", "share"),
+    [
+        ([5000, 30, 700, 1], None), ([100, 100, 100], [8, 1, 1]), ([3], None), ([1] * 50, None), ([1] * 50, [1] * 50), ([700] * 9, [1, 1, 1, 2, 2, 2, 4, 4, 4]), ([1, 10**5, 9], [1, 1e-12, 1]),
+        ([1 + 7 * i % 90 for i in range(3000)], None), ([1 + 7 * i % 900 for i in range(150)], [1 + i % 11 for i in range(150)]),
+    ],
+)
+def test_schedule(total, share):
+    """Whole windows, in order, near the targets, whatever the number of queues; any window alone gives the same."""
+    length, rng = 64, np.random.default_rng(4)
+    make = lambda: packing.Schedule(np.array(total), None if share is None else np.array(share, float), length)
+    s = make()
+    a = s.served(np.arange(s.windows + 1))
+    assert (a.sum(1) == np.minimum(np.arange(s.windows + 1) * length, sum(total))).all() and (np.diff(a, axis=0) >= 0).all() and (a[-1] == total).all()
+    plain = np.cumsum(by_rounds(total, np.array(total if share is None else share, float), length), axis=0)
+    assert plain.shape == a[1:].shape and np.abs(plain - a[1:]).max() <= 4
+    some = np.unique(rng.integers(0, s.windows + 1, 4))
+    assert (make().served(some) == a[some]).all()
+    q = rng.integers(0, len(total), 400)
+    at = (rng.random(400) * np.array(total)[q]).astype(np.int64)
+    w = make().window_of(q, at)
+    assert (a[w, q] <= at).all() and (at < a[w + 1, q]).all()
+    run, start, size, w, offset = make().cut(q, at, np.array(total)[q] - at)
+    assert size.sum() == (np.array(total)[q] - at).sum() and (np.bincount(run, size) == np.array(total)[q] - at).all() and (offset + size <= length).all()
+    assert (a[w, q[run]] <= at[run] + start).all() and (at[run] + start + size <= a[w + 1, q[run]]).all()
+
+
+def test_packing_keeps_a_queue_for_each_source(spark):
+    """3,000 sources, two of them with given shares: these fill the first windows."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 99, 30)), f"s{i % 3000}" if i % 3 else ["s0", "s1"][i % 2]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = packing.pack(df, queries.tokenizer_path(), 512, {"s0": 3.0, "s1": 1.0}).collect()
+    check_pack(df, got, 512)
+    source, by = {r[0]: r[2] for r in rows}, collections.Counter()
+    for p in got:
+        by[p.sequence_id, source[p.doc_id]] += p.length
+    assert all(abs(by[w, "s0"] - 384) <= 4 and abs(by[w, "s1"] - 128) <= 4 for w in range(20))
 
 
 # 9 mixing
