@@ -148,13 +148,15 @@ def test_model_holds_all_words_and_pairs(spark, monkeypatch):
     assert 0 < len(model.vocab.hashes) <= 50 and lm.ranges_for(model.vocab.tokens) == 128
     held = {r.range: lm.Filter(np.frombuffer(r.bits, np.uint8)) for r in model.blocks.collect()}
     level = {}
-    for part in np.unique(step.parts):
-        own = step.keys[step.parts == part]
+    parts = lm._part(step.keys, 128)
+    assert (np.diff(parts) >= 0).all()
+    for part in np.unique(parts):
+        own = step.keys[parts == part]
         level.update(zip(own.tolist(), held[part].levels(lm._short(own)).tolist(), strict=True))
     n = collections.Counter()
-    for h, _, _, pair in step.slices:
-        n.update(lm.word_key(h).tolist())
-        n.update(pair.tolist())
+    n.update(lm.word_key(step.hashes).tolist())
+    n.update(step.keys[step.pair].tolist())
+    assert (step.keys[step.word] == lm.word_key(step.hashes)).all()
     assert set(n) == set(level) and min(n.values()) == 1
     want = {k: int(lm.level(np.array([c]))[0]) + 1 for k, c in n.items()}
     assert all(level[k] >= want[k] for k in n) and np.mean([level[k] == want[k] for k in n]) > 0.8
@@ -173,6 +175,64 @@ def test_model_holds_all_words_and_pairs(spark, monkeypatch):
     assert np.allclose(model.kept, kept / np.maximum(total, 1))
 
 
+def test_score_is_that_of_plain_counts(spark):
+    """The score against a model of plain dictionaries, whose counts are rounded to the same levels."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.4, rng.integers(0, 30)).clip(1, 400)) for _ in range(500)] + ["", None, "new words here", "w1 w1 new w2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = df.where("doc_id < 400")
+    model, words = lm.fit(train)
+    got = {r.doc_id: r for r in lm.score(df, model, words).collect()}
+    held = {r.range: lm.Filter(np.frombuffer(r.bits, np.uint8)) for r in model.blocks.collect()}
+    tokens = {i: [*(t or "").split(), None] for i, t in enumerate(texts)}
+    word, pairs, follow = collections.Counter(), collections.Counter(), collections.Counter()
+    for i in range(400):
+        word.update(tokens[i])
+        pairs.update(zip([None, *tokens[i]], tokens[i], strict=False))
+    lvl = lambda c: int(math.floor(math.log2(c) * 2 + 1e-9))
+    middle = lambda q: 0.0 if q == 0 else 1.0 if q == 1 else 2 ** ((q - 0.5) / 2)
+    total = collections.Counter()
+    for w, c in word.items():
+        total[lvl(c) // 2] += c
+    for (a, _), c in pairs.items():
+        follow[lvl(word[a]) // 2] += c - lm.DISCOUNT
+    n, v = sum(word.values()), len(word)
+
+    def read(h, part, exact):
+        """A count from the filter, and whether it is the exact one's."""
+        q = int(held[part].levels(lm._short(np.array([h], np.uint64)))[0]) if part in held else 0
+        assert q >= (lvl(exact) + 1 if exact else 0)
+        return middle(q), q == (lvl(exact) + 1 if exact else 0)
+
+    right = 0
+    for i, own in tokens.items():
+        step, plain, same = lm.Step.of(pa.array([texts[i] or ""]), model.vocab), 0.0, True
+        part, log, before = lm._part(step.keys, lm.ranges_for(n)), 0.0, None
+        for k, w in enumerate(own):
+            at = step.word[k], step.pair[k]
+            c, a = read(step.keys[at[0]], part[at[0]], word[w])
+            end = lm.word_key(np.array([lm.END]))[0]
+            lead, b = read(end, int(lm._part(np.array([end]), lm.ranges_for(n))[0]), word[None]) if before is None else (last, last_same)  # noqa: F821
+            pc, d = read(step.keys[at[1]], part[at[1]], pairs[before, w])
+            p = min((c + lm.ALPHA) / (n + lm.ALPHA * (v + 1)), 1.0)
+            if lead > 0:
+                of = lvl(word[before]) // 2 if word[before] else lvl(lead) // 2
+                p *= 1 - min(max(follow[of] / max(total[of], 1), 0), 0.999)
+            log += math.log10(min(p + min(max(min(pc, c, lead) - lm.DISCOUNT, 0) / max(lead, 1), 1.0), 1.0))
+            same, last, last_same, before = same and a and b and d, c, a, w
+        assert got[i].score == pytest.approx(log, abs=1e-6)
+        # the same with exact counts
+        for a, w in zip([None, *own], own, strict=False):
+            c, lead, pc = (middle(lvl(x) + 1) if x else 0.0 for x in (word[w], word[a], pairs[a, w]))
+            p = min((c + lm.ALPHA) / (n + lm.ALPHA * (v + 1)), 1.0)
+            if lead > 0:
+                p *= 1 - min(max(follow[lvl(word[a]) // 2] / total[lvl(word[a]) // 2], 0), 0.999)
+            plain += math.log10(min(p + min(max(min(pc, c, lead) - lm.DISCOUNT, 0) / max(lead, 1), 1.0), 1.0))
+        assert not same or got[i].score == pytest.approx(plain, abs=1e-6)
+        right += same
+    assert right > 20 and all(got[i].score > got[502].score for i in (500, 501))
+
+
 # 5 personal data
 
 

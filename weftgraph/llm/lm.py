@@ -67,6 +67,12 @@ def pair_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR + h) & ~np.uint64(31)
 
 
+def led_key(pair: np.ndarray, lead: np.ndarray, lead_at: np.ndarray, ranges: int) -> np.ndarray:
+    """The keys of pairs: those led by a word outside the vocabulary take the top bits, which say the range, of that word."""
+    low = np.uint64((1 << (65 - ranges.bit_length())) - 1)
+    return np.where(lead_at >= 0, pair, word_key(lead) & ~low | pair & low)
+
+
 def level(count: np.ndarray) -> np.ndarray:
     """floor(log_BASE(count)) for counts from 1 on."""
     return np.floor(np.log2(np.maximum(count, 1)) * 2 + 1e-9).astype(np.int64)
@@ -101,6 +107,16 @@ def _joined(column, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in column]])
 
 
+def _places_among(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``x`` in order, and the place of each value among them."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.append(True, x[1:] != x[:-1])[: len(x)]
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return x[new], place
+
+
 def _merge(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(h, kind="stable")
     h, n = h[order], n[order]
@@ -206,14 +222,14 @@ def blocks(docs: DataFrame, words: DataFrame, vocab: Vocabulary) -> DataFrame:
             yield rows(_TAGGED, _part(h, ranges), h, n, none)
             h, i, n = np.unique(np.concatenate(led), return_index=True, return_counts=True)
             lead = np.concatenate(lead_of)[i]
-            yield rows(_LED, _part(word_key(lead), ranges), h, n, lead)
+            yield rows(_LED, _part(h, ranges), h, n, lead)
             for held in (tagged, led, lead_of):
                 del held[1:]
 
         for batch in batches:
             for h, first in token_hashes(text_column(batch)):
                 lead, lead_at = leads(h, first, own.find(h), end_at)
-                pair, of = pair_hashes(h, first), lead_at >= 0
+                pair, of = led_key(pair_hashes(h, first), lead, lead_at, ranges), lead_at >= 0
                 # the low five bits, free in a pair's hash, carry the level of its first word
                 tagged.append(pair[of] | np.minimum(level(own.counts[lead_at[of]]) // 2, 31).astype(np.uint64))
                 led.append(pair[~of])
@@ -325,51 +341,64 @@ class Model:
 
 @dataclass(frozen=True)
 class Step:
-    """The tokens of some texts, in slices (hashes, first of each text, places in the vocabulary, pairs), and their
-    distinct n-grams: keys, sorted, and ranges."""
+    """The tokens of some texts: the first token of each text and the end; each token's place in the vocabulary, and the
+    places of its word and of the pair that it ends among the distinct keys of the step, which are sorted, so that each
+    range's keys lie together."""
 
-    slices: list[tuple[np.ndarray, ...]]
+    hashes: np.ndarray
+    first: np.ndarray
+    at: np.ndarray
     keys: np.ndarray
-    parts: np.ndarray
+    word: np.ndarray
+    pair: np.ndarray
+
+    @staticmethod
+    def tokens(texts: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, ...]:
+        """(hashes, first, distinct words, place of each token's word among them, places in the vocabulary, pairs)."""
+        slices, first = list(token_hashes(texts)), [np.zeros(1, np.int64)]
+        h = np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in slices]])
+        for _, f in slices:
+            first.append(f[1:] + first[-1][-1])
+        first = np.concatenate(first)
+        words, place = _places_among(h)
+        at = vocab.find(words)[place] if len(h) else np.zeros(0, np.int64)
+        lead, lead_at = leads(h, first, at, vocab.find(np.array([END]))[0])
+        return h, first, words, place, at, led_key(pair_hashes(h, first), lead, lead_at, ranges_for(vocab.tokens))
+
+    @staticmethod
+    def asked(texts: pa.Array, vocab: Vocabulary) -> np.ndarray:
+        """The keys alone."""
+        _, _, words, _, _, pair = Step.tokens(texts, vocab)
+        keys = np.sort(np.concatenate([word_key(words), pair]))
+        return keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
 
     @staticmethod
     def of(texts: pa.Array, vocab: Vocabulary) -> Step:
-        ranges, end_at, slices, keys, parts = ranges_for(vocab.tokens), vocab.find(np.array([END]))[0], [], [], []
-        for h, first in token_hashes(texts):
-            at = vocab.find(h)
-            lead, lead_at = leads(h, first, at, end_at)
-            pair, word = pair_hashes(h, first), word_key(np.unique(h))
-            slices.append((h, first, at, pair))
-            keys += [word, pair]
-            parts += [_part(word, ranges), _part(np.where(lead_at >= 0, pair, word_key(lead)), ranges)]
-        key, i = np.unique(np.concatenate(keys), return_index=True)
-        return Step(slices, key, np.concatenate(parts)[i])
-
-    def by_part(self) -> np.ndarray:
-        """The order of the keys in which they are asked."""
-        return np.argsort(self.parts, kind="stable")
-
-
-def log_probabilities(vocab: Vocabulary, kept: np.ndarray, step: Step, levels: np.ndarray) -> Iterator[np.ndarray]:
-    """log10 of each token's probability, by slice of the step; ``levels`` are those of its keys."""
-    count = quantised(levels)
-    read = lambda key: count[np.searchsorted(step.keys, key)]
-    end_at, end_c = vocab.find(np.array([END]))[0], read(word_key(np.array([END])))[0]
-    for h, first, at, pairs in step.slices:
-        # many tokens are the same few words
-        distinct, inverse = np.unique(h, return_inverse=True)
-        c = read(word_key(distinct))[inverse]
-        p = np.minimum((c + ALPHA) / (vocab.tokens + ALPHA * (vocab.distinct + 1)), 1.0)
-        _, lead_at = leads(h, first, at, end_at)
-        lead_c = np.concatenate([[0.0], c[:-1]])
-        lead_c[first[:-1]] = end_c
-        exact = lead_c.copy()
-        exact[lead_at >= 0] = vocab.counts[lead_at[lead_at >= 0]]
-        p = np.where(lead_c > 0, p * (1 - kept[np.minimum(level(exact) // 2, 31)]), p)
-        # a pair is no more frequent than its words, whatever the filter says
-        pair = np.minimum(read(pairs), np.minimum(c, lead_c))
-        p += np.minimum(np.maximum(pair - DISCOUNT, 0) / np.maximum(lead_c, 1), 1.0)
-        yield np.log10(np.clip(p, 1e-300, 1.0))
+        h, first, words, word, at, pair = Step.tokens(texts, vocab)
+        keys, place = _places_among(np.concatenate([word_key(words), pair]))
+        return Step(h, first, at, keys, place[: len(words)][word], place[len(words) :])
+
+
+def log_probabilities(vocab: Vocabulary, kept: np.ndarray, step: Step, levels: np.ndarray) -> np.ndarray:
+    """log10 of each token's probability; ``levels`` are those of the step's keys."""
+    of_level = quantised(np.arange(256))
+    word_level = levels[step.word]
+    c = of_level[word_level]
+    p = np.minimum((c + ALPHA) / (vocab.tokens + ALPHA * (vocab.distinct + 1)), 1.0)
+    ends = step.first[1:] - 1  # a text's first token follows an end
+    end_level = word_level[ends[0]] if len(ends) else 0
+    lead_level, lead_at = np.concatenate([[0], word_level[:-1]])[: len(c)], np.concatenate([[-1], step.at[:-1]])[: len(c)]
+    lead_level[step.first[:-1]], lead_at[step.first[:-1]] = end_level, vocab.find(np.array([END]))[0]
+    rest = 1 - kept[np.minimum(level(of_level) // 2, 31)]
+    rest[0] = 1.0
+    share = rest[lead_level]
+    known = lead_at >= 0
+    share[known] = (1 - kept[np.minimum(level(vocab.counts) // 2, 31)])[lead_at[known]]
+    lead_c = of_level[lead_level]
+    # a pair is no more frequent than its words, whatever the filter says
+    pair = np.minimum(of_level[levels[step.pair]], np.minimum(c, lead_c))
+    p = p * share + np.minimum(np.maximum(pair - DISCOUNT, 0) / np.maximum(lead_c, 1), 1.0)
+    return np.log10(np.clip(p, 1e-300, 1.0))
 
 
 def held_out(doc_id="doc_id"):
@@ -416,9 +445,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
             row, size = row + len(texts), int(upto[-1]) if len(upto) else size
 
     def ask(table: pa.Table) -> pa.Table:
-        step = Step.of(text_column(table.combine_chunks().to_batches()[0]), shared.value[0])
-        order = step.by_part()
-        part, (keys,) = _cut(step.parts[order], _short(step.keys[order]).view(np.uint8).reshape(-1, 8)[:, :5])
+        keys = Step.asked(text_column(table.combine_chunks().to_batches()[0]), shared.value[0])
+        part, (keys,) = _cut(_part(keys, ranges_for(shared.value[0].tokens)), _short(keys).view(np.uint8).reshape(-1, 8)[:, :5])
         return pa.table({"step": pa.array(np.full(len(part), table["step"][0].as_py())), "range": part, "keys": keys})
 
     def answer(asked: pa.Table, block: pa.Table) -> pa.Table:
@@ -433,20 +461,14 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
         own, kept = shared.value
         batch = table.combine_chunks().to_batches()[0]
         step, logs = Step.of(text_column(batch), own), np.log10(own.counts + ALPHA)
-        levels = np.empty(len(step.keys), np.uint8)
-        levels[step.by_part()] = _joined(answers.sort_by("range")["levels"], np.uint8)
-        n, known, base, scores, rare, ends = [], [], [], [], [], [np.zeros(1, np.int64)]
-        for (h, first, at, _), p in zip(step.slices, log_probabilities(own, kept, step, levels), strict=True):
-            inside = at >= 0
-            cum = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023, E731  no text is without tokens
-            n.append(np.diff(first))
-            known.append(cum(inside.astype(np.int64)))
-            base.append(cum(np.where(inside, logs[at] if len(logs) else 0.0, 0.0)))
-            scores.append(cum(p))
-            rare.append(h[~inside])
-            ends.append(ends[-1][-1] + np.cumsum(cum((~inside).astype(np.int64))))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(rare).view(np.int64)))
-        return pa.table([table["row"], table["doc_id"], *[pa.array(np.concatenate(x)) for x in (n, known, base, scores)], lists], ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"])
+        p = log_probabilities(own, kept, step, _joined(answers.sort_by("range")["levels"], np.uint8))
+        inside, begin = step.at >= 0, step.first[:-1]
+        cum = lambda x: np.add.reduceat(x, begin)  # noqa: E731  no text is without tokens
+        base = cum(np.where(inside, logs[step.at] if len(logs) else 0.0, 0.0))
+        ends = np.concatenate([[0], np.cumsum(cum((~inside).astype(np.int64)))])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(step.hashes[~inside].view(np.int64)))
+        values = [pa.array(x) for x in (np.diff(step.first), cum(inside.astype(np.int64)), base, cum(p))]
+        return pa.table([table["row"], table["doc_id"], *values, lists], ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"])
 
     texts, _ = written(docs.mapInArrow(number, "step long, row long, doc_id long, text string"), "texts")
     asked = texts.groupBy("step").applyInArrow(ask, "step long, range long, keys binary")
