@@ -204,7 +204,7 @@ def test_score_is_that_of_plain_counts(spark):
         assert q >= (lvl(exact) + 1 if exact else 0)
         return middle(q), q == (lvl(exact) + 1 if exact else 0)
 
-    right = 0
+    reads = []
     for i, own in tokens.items():
         step, plain, same = lm.Step.of(pa.array([texts[i] or ""]), model.vocab), 0.0, True
         part, log, before = lm._part(step.keys, lm.ranges_for(n)), 0.0, None
@@ -220,6 +220,7 @@ def test_score_is_that_of_plain_counts(spark):
                 p *= 1 - min(max(follow[of] / max(total[of], 1), 0), 0.999)
             log += math.log10(min(p + min(max(min(pc, c, lead) - lm.DISCOUNT, 0) / max(lead, 1), 1.0), 1.0))
             same, last, last_same, before = same and a and b and d, c, a, w
+            reads += [a, d]
         assert got[i].score == pytest.approx(log, abs=1e-6)
         # the same with exact counts
         for a, w in zip([None, *own], own, strict=False):
@@ -229,8 +230,8 @@ def test_score_is_that_of_plain_counts(spark):
                 p *= 1 - min(max(follow[lvl(word[a]) // 2] / total[lvl(word[a]) // 2], 0), 0.999)
             plain += math.log10(min(p + min(max(min(pc, c, lead) - lm.DISCOUNT, 0) / max(lead, 1), 1.0), 1.0))
         assert not same or got[i].score == pytest.approx(plain, abs=1e-6)
-        right += same
-    assert right > 20 and all(got[i].score > got[502].score for i in (500, 501))
+    assert np.mean(reads) > 0.85
+    assert all(got[i].score > got[502].score for i in (500, 501))
 
 
 # 5 personal data

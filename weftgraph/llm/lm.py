@@ -34,7 +34,7 @@ from .common import crc_of, pick, small_batches, text_column, written
 from .textvec import mix, words_of
 
 #: Probes of an entry; bits of a filter where its size isn't given, and the entries of one kind that fill it a quarter.
-FILTER_BITS, PROBES = 27, 3
+FILTER_BITS, PROBES = 27, 5
 CAPACITY = int((1 << FILTER_BITS) * np.log(2) / PROBES / 2)
 BASE = 2.0**0.5
 #: Words at most whose exact counts every worker holds (16 bytes each).
