@@ -540,16 +540,32 @@ def test_simhash(hard, docs, empty):
         assert got == collections.Counter((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, comp, strict=True))
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.representatives(hard)
-    assert kept.columns == hard.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)[:2] == [1, 3]
-    assert kept.where("doc_id = 3").count() == 1 and kept.where("doc_id in (10, 11)").count() == 1
-
-
-def test_links_of_a_dense_cluster(spark):
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    rows = [(r.doc_id, r.text) for r in hard.collect()]
+    comp = {}
+    for (i, t), c in zip(rows, components_brute([simhash_brute(t or "") for _, t in rows], list(range(len(rows))), 2), strict=True):
+        comp.setdefault(c, []).append((i is None, i or 0))
+    assert kept.columns == hard.columns and sorted((i is None, i or 0) for i, _ in got) == sorted(min(v) for v in comp.values())
+    assert simhash.representatives(empty).count() == 0
+
+
+def test_representatives_of_repeated_ids(spark):
+    """An id with texts in two components, copies without an id, whole rows that repeat, a column that can't be ordered."""
+    a, b, c = "one two three four five", "quite another text of six words", "third text about nothing at all here"
+    rows = [(7, a, {"k": 1}), (7, b, {"k": 2}), (9, b, {"k": 1}), (None, c, {"k": 1}), (None, c, {"k": 1}), (3, a, {"k": 5}), (3, a, {"k": 5}), (3, a, {"k": 4})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_hash map<string,int>")
+    got = sorted(((r.doc_id, r.text, r.text_hash["k"]) for r in simhash.representatives(df).collect()), key=str)
+    assert got == sorted([(7, b, 2), (None, c, 1), (3, a, 4)], key=str)
+
+
+@pytest.mark.parametrize("k", [3, 4, 5])
+def test_links_of_a_dense_cluster(spark, k):
     rng = np.random.default_rng(9)
     base_ = int(rng.integers(0, 2**63))
     fps = {base_ ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for a, b, c in rng.integers(0, 64, (400, 3))} | {int(x) for x in rng.integers(0, 2**63, 300)}
+    fps |= {f ^ (1 << int(a)) ^ (1 << int(b)) for f, (a, b) in zip(list(fps)[-40:], rng.integers(0, 64, (40, 2)), strict=True)}
     fps = sorted(fps)
-    edges = simhash.links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")).collect()
+    edges = simhash.links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long"), k=k).collect()
     assert all(bin((e.a ^ e.b) & (2**64 - 1)).count("1") <= 2 for e in edges)
     place = {simhash._signed(f): k for k, f in enumerate(fps)}
     parent = list(range(len(fps)))
@@ -565,6 +581,36 @@ def test_links_of_a_dense_cluster(spark):
     assert [root(k) for k in range(len(fps))] == components_brute(fps, list(range(len(fps))), 2)
 
 
+def test_count_filter_tallies_shared_bytes(spark):
+    """A pair in light lists meets once for each choice of k among its shared positional bytes."""
+    x = 0x0123456789ABCDEF
+    for shared in range(3, 8):
+        y = x
+        for i in range(8 - shared):
+            y ^= 255 << 8 * i
+        df = spark.createDataFrame([(simhash._signed(x),), (simhash._signed(y),)], "fp long")
+        lists = simhash.postings(df, 3).repartition(3, "key").sortWithinPartitions("key")
+        assert simhash.tallies(lists, 3, 2).count() == math.comb(shared, 3)
+
+
+def test_long_lists_go_on_to_longer_keys(spark):
+    """Lists of any length, cut anywhere by batches, form the same links."""
+    fps = sorted([i << 40 | 7 for i in range(200)] + [1 << 62 | i for i in range(33)] + [5])
+    df = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(3)
+    found = {(min(e), max(e)) for e in simhash.links(df).collect()}
+    parent = {f: f for f in fps}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in found:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    assert [fps.index(root(f)) for f in fps] == [fps.index(fps[c]) for c in components_brute(fps, list(range(len(fps))), 2)]
+
+
 # kernels
 
 

@@ -1,20 +1,24 @@
-"""SimHash near-duplicates through an inverted index over byte positions.
+"""SimHash near-duplicates through an inverted index over byte positions, with a count filter.
 
-A fingerprint is 8 bytes. Two fingerprints that differ in at most d bits share at least 8 - d positional bytes, which is
-the guaranteed minimum T of the count filter. The index is keyed by T positional bytes at once: each fingerprint is
-posted under all C(8, T) choices of positions, so a pair meets in a posting list exactly if its tally of shared
-positional bytes reaches T, and pairs below the minimum are never formed. (Lists of single bytes would hold 1/256 of all
-fingerprints each, and tallying their pairs grows with the square of the input.) Fingerprints in a list differ in the
-other 8 - T bytes only, so a list holds at most 256**d of them, however many documents there are.
+A fingerprint is 8 bytes. Two fingerprints that differ in at most d bits share at least T = 8 - d positional bytes. The
+index has a posting list for each choice of k positions and each value of the bytes there; a pair that shares s
+positional bytes meets in C(s, k) lists. So the count filter tallies the lists in which a pair meets, keeps the pairs
+that reach the guaranteed minimum C(T, k), and verifies their bits. (With k = 1 a list holds 1/256 of all fingerprints,
+and the pairs to tally grow with the square of the input; k = 3, 4 or 5, by the number of fingerprints, keeps a list of
+unrelated ones below one on average. The result is the same for each k.)
 
-Within a list pairs are verified by looking up each fingerprint's neighbours at 1 to d bits in the sorted list, and a
-spanning forest of the verified links goes on, not all pairs. Equal fingerprints count once throughout.
+A list of more than ``LIST`` fingerprints forms no pairs. Its members go on to longer keys of T positional bytes, those
+it has and each choice of the others: any pair of the list that reaches the minimum meets there, with its tally complete
+by construction, and such a list holds at most 256**d fingerprints, however many documents there are. In it pairs are
+verified by looking up each fingerprint's neighbours at 1 to d bits, and a spanning forest of the links goes on, not all
+pairs. A pair that meets in light lists only has its whole tally there. Equal fingerprints count once throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,12 @@ from .common import pick, shield, small_batches, text_column, written
 SHINGLE = 3
 SEED = 42
 BITS = 2
+#: Fingerprints of a posting list up to which all its pairs are tallied.
+LIST = 32
+#: Rows of sorted postings that a task looks at at once.
+AT_ONCE = 1 << 15
+#: Documents of one fingerprint from which it may be a heavy one; there are at most ``HEAVY_SHARE`` such fingerprints.
+HEAVY, HEAVY_SHARE = 10_000, 1000
 #: Hashes of one step of the bit counts, 64 bytes each while counted.
 STEP = 1 << 16
 
@@ -56,15 +66,16 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row; fp is the fingerprint as a signed long."""
+    """(doc_id, fp, text_hash) for each row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [_signed(fingerprint(t)) for t in text_column(batch).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fp, pa.int64()), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
     small_batches(docs.sparkSession)
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    own = pick(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    return own.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def near_links(fps: np.ndarray, bits: int, within: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +109,103 @@ def near_links(fps: np.ndarray, bits: int, within: int) -> tuple[np.ndarray, np.
     return i[kept], j[kept]
 
 
-def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+def width(distinct: int) -> int:
+    """Positional bytes of a posting key: a list of unrelated fingerprints holds a quarter on average at most."""
+    return next((k for k in (3, 4) if distinct <= 1 << (8 * k - 2)), 5)
+
+
+def postings(distinct: DataFrame, k: int) -> DataFrame:
+    """(key, fp): each fingerprint under all choices of ``k`` positions; a key holds the choice and the bytes."""
+    byte = lambda at: F.shiftrightunsigned("fp", 8 * at).bitwiseAND(F.lit(255))
+    keys = []
+    for number, places in enumerate(combinations(range(8), k)):
+        key = F.lit(number << 40)
+        for i, at in enumerate(places):
+            key = key.bitwiseOR(F.shiftleft(byte(at), 8 * i))
+        keys.append(key)
+    return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+
+def pairs_of(rows: np.ndarray) -> np.ndarray:
+    """All pairs (lesser, greater) of each row's values."""
+    i, j = np.triu_indices(rows.shape[1], 1)
+    both = np.stack([rows[:, i].ravel(), rows[:, j].ravel()])
+    both.sort(axis=0)
+    return both
+
+
+def tallies(lists: DataFrame, k: int, bits: int) -> DataFrame:
+    """From (key, fp) with each key's rows together: (a, b) for each light list that a pair meets in, and for a heavy
+    list's members (a) the longer keys, as (a, null, block, key)."""
+    least = 8 - bits
+    longer = list(combinations(range(8), least))
+    masks = np.array([sum(255 << 8 * i for i in c) for c in longer], np.uint64)
+    # the longer choices that hold each shorter one
+    holding = [[n for n, c in enumerate(longer) if set(p) <= set(c)] for p in combinations(range(8), k)]
+    names = ["a", "b", "block", "key"]
+
+    def light(both: np.ndarray) -> pa.RecordBatch:
+        n = both.shape[1]
+        return pa.record_batch([pa.array(both[0]), pa.array(both[1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+
+    def heavy(key: int, fps: np.ndarray) -> pa.RecordBatch:
+        blocks = np.array(holding[key >> 40])
+        block, fp = np.repeat(blocks, len(fps)), np.tile(fps, len(blocks))
+        keys = (fp.view(np.uint64) & masks[block]).view(np.int64)
+        return pa.record_batch([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(block.astype(np.int32)), pa.array(keys)], names)
+
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+            size += batch.num_rows
+            if size >= AT_ONCE:
+                yield *(np.concatenate(x) for x in zip(*held, strict=True)), False
+                held, size = [], 0
+        none = np.zeros(0, np.int64)
+        yield *(np.concatenate([none, *x]) for x in (zip(*held, strict=True) if held else ((), ()))), True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest_key, rest_fp, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for key, fp, last in blocks_of(batches):
+            key, fp = np.concatenate([rest_key, key]), np.concatenate([rest_fp, fp])
+            if hot is not None:  # a heavy list goes on
+                n = int(np.searchsorted(key != hot, True)) if len(key) else 0
+                if n:
+                    yield heavy(hot, fp[:n])
+                key, fp = key[n:], fp[n:]
+            if not len(key):
+                rest_key, rest_fp = key, fp
+                continue
+            edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            hot = None
+            if not last:  # the last list may go on
+                if edges[-1] - edges[-2] > LIST:
+                    hot = int(key[-1])
+                    yield heavy(hot, fp[edges[-2] :])
+                    rest_key, rest_fp = key[:0], fp[:0]
+                else:
+                    rest_key, rest_fp = key[edges[-2] :], fp[edges[-2] :]
+                edges = edges[:-1]
+            size, begin = np.diff(edges), edges[:-1]
+            for m in np.unique(size[(size > 1) & (size <= LIST)]):
+                rows = fp[begin[size == m][:, None] + np.arange(m)]
+                yield light(pairs_of(rows))
+            for at in np.flatnonzero(size > LIST):
+                yield heavy(int(key[begin[at]]), fp[begin[at] : begin[at] + size[at]])
+
+    return lists.mapInArrow(run, "a long, b long, block int, key long")
+
+
+def links(distinct: DataFrame, bits: int = BITS, k: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp) whose components are those of all pairs at ``bits`` bits or fewer."""
-    full = (1 << 64) - 1
-    others = [sum(255 << 8 * i for i in c) for c in combinations(range(8), bits)]
-    posts = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(full ^ m))) for m in others]))
-    lists = distinct.select("fp", posts.alias("block", "key")).groupBy("block", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    k = k or width(distinct.count())
+    lists = postings(distinct, k).repartition("key").sortWithinPartitions("key")
+    table, _ = written(tallies(lists, k, bits), "tallies")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
+    light = table.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("met")).where((F.col("met") >= comb(8 - bits, k)) & near)
+    others = [sum(255 << 8 * i for i in range(8) if i not in c) for c in combinations(range(8), 8 - bits)]
+    long = table.where("b is null").groupBy("block", "key").agg(F.collect_set("a").alias("fps")).where(F.size("fps") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +218,28 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
             if a:
                 yield pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    return lists.select("block", "fps").mapInArrow(run, "a long, b long")
+    return light.select("a", "b").unionByName(long.select("block", "fps").mapInArrow(run, "a long, b long"))
+
+
+def _classes(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, fp, text_hash) for each row; (fp, component, component_id) for each fingerprint; and of these the heavy ones."""
+    table, _ = written(fingerprints(docs), "fingerprints")
+    classes, _ = written(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    nodes = components(links(classes.select("fp"), bits))
+    of = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("component"))
+    of, _ = written(of, "members")
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    named, _ = written(of.join(ids, "component").select("fp", "n", "component", "component_id"), "named")
+    rows = named.agg(F.sum("n")).first()[0] or 0
+    heavy = named.where(F.col("n") > max(HEAVY, rows // HEAVY_SHARE))
+    return table, named.drop("n"), heavy.drop("n")
+
+
+def _with_components(docs: DataFrame, bits: int) -> DataFrame:
+    """(doc_id, fp, text_hash, component, component_id) for each row; rows of heavy fingerprints aren't moved."""
+    table, named, heavy = _classes(docs, bits)
+    few = F.broadcast(heavy)  # HEAVY_SHARE rows at most
+    return table.join(few, "fp").unionByName(table.join(few, "fp", "left_anti").join(named, "fp"))
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -127,26 +250,26 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     the fingerprint zero and link like any other. Equal rows get equal values. An empty table stays empty. Other
     columns are not looked at.
     """
-    table, _ = written(fingerprints(docs), "fingerprints")
-    classes, _ = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    nodes = components(links(classes.select("fp"), bits))
-    of = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    of, _ = written(of, "members")
-    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    named, _ = written(of.join(ids, "component").select("fp", "component_id"), "named")
-    return table.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _with_components(docs, bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, and of
-    rows with that same id the one that is least by text and the other columns. Rows without an id can't be told
-    apart by it and are all kept."""
+    """One row of each component of near-duplicates in ``docs``: that with the smallest doc_id, a null id coming last, and
+    of rows with that id in the component the one whose text has the least hash, then the least text and other columns.
+
+    Null and empty texts are near-duplicates of each other. Repeated rows leave one. An empty table stays empty. Other
+    columns may have any names and types.
+    """
     own, names = shield(docs, "doc_id", "text")
-    best, _ = written(near_duplicates(own, bits).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")), "best")
-    # one id for each component, so the table grows with the documents: shuffled at every size
-    out = own.join(best.where("__n = 1").hint("merge"), F.expr("doc_id = __id")).select(*names).unionByName(own.where("doc_id is null"))
-    if not best.where("__n > 1").isEmpty():  # texts are compared only where ids repeat
-        rest = ["text", *[c for c in names if c not in ("doc_id", "text")]]
-        least = own.join(best.where("__n > 1"), F.expr("doc_id = __id")).groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row"))
-        out = out.unionByName(least.select("doc_id", "__row.*").select(*names))
+    rows = _with_components(own, bits).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("__n"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    best = rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "text_hash", "__n"), order).alias("__best"))
+    best, _ = written(best.select(F.col("__best.doc_id").alias("__id"), F.col("__best.text_hash").alias("__hash"), F.col("__best.__n").alias("__n")), "best")
+    # one row for each component, so the table grows with the documents: shuffled at every size
+    found = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    out = own.join(best.where("__n = 1").hint("merge"), found).select(*names)
+    if not best.where("__n > 1").isEmpty():  # whole rows are compared only where id and text repeat
+        rest = F.struct("text", F.to_json(F.struct(*names)))
+        least = own.join(best.where("__n > 1").hint("merge"), found).groupBy("__id", "__hash").agg(F.min_by(F.struct(*names), rest).alias("__row"))
+        out = out.unionByName(least.select("__row.*").select(*names))
     return out.toDF(*docs.columns)
