@@ -498,6 +498,47 @@ def test_mixing_comes_near(spark, sf):
     assert all(abs(a - t) <= 0.02 * t for a, t in by.values())
 
 
+def test_solve_meets_overlapping_constraints(spark):
+    """Newton's solution of the dual against plain raking of the cells, and a mix that can't exist."""
+    rng = np.random.default_rng(2)
+    a, b = [f"s{i}" for i in range(7)], ["en", "de", None]
+    size = {(x, y): int(rng.integers(50, 5000)) for x in a for y in b}
+    cells = spark.createDataFrame([(x, y, n) for (x, y), n in size.items()], "source string, lang string, size long")
+    want = {"source": {x: float(rng.integers(500, 5000)) for x in a}}
+    whole = sum(want["source"].values())
+    want["lang"] = {"en": 0.6 * whole, "de": 0.3 * whole, None: 0.1 * whole}
+    goals = {k: spark.createDataFrame(list(v.items()), "value string, target double") for k, v in want.items()}
+    rate = {k: 1.0 for k in size}
+    for _ in range(500):
+        for kind, at in (("source", 0), ("lang", 1)):
+            for v, t in want[kind].items():
+                own = [k for k in size if k[at] == v]
+                f = t / sum(size[k] * rate[k] for k in own)
+                for k in own:
+                    rate[k] *= f
+    got = {(r.source, r.lang): r.rate for r in mixing.solve(cells, goals).collect()}
+    assert got.keys() == rate.keys() and all(got[k] == pytest.approx(rate[k], rel=1e-6) for k in rate)
+    alone = {(r.source, r.lang): r.rate for r in mixing.solve(cells, {"source": goals["source"]}).collect()}
+    assert all(r == pytest.approx(want["source"][s] / sum(n for (x, _), n in size.items() if x == s), rel=1e-9) for (s, _), r in alone.items())
+    apart = spark.createDataFrame([("x", "en", 10), ("y", "de", 10)], "source string, lang string, size long")
+    with pytest.raises(ValueError, match="no mix"):
+        mixing.solve(apart, {"source": spark.createDataFrame([("x", 5.0), ("y", 5.0)], "value string, target double"), "lang": spark.createDataFrame([("en", 8.0), ("de", 2.0)], "value string, target double")}, steps=10)
+
+
+def test_mixing_by_source_and_language(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(rng.integers(5, 60))), f"s{i % 3}", ["en", "de"][int(rng.random() < 0.3)], i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, Size long")
+    m = mixing.mix(df, also={"lang": {"en": 1.0, "de": 1.0}})
+    assert m.columns == ["doc_id", "text", "source", "lang", "Size0", "size", "source_size", "target", "copies"]
+    took, goal = collections.Counter(), {}
+    for r in m.collect():
+        took[r.source] += r.copies * r[5]
+        took[r.lang] += r.copies * r[5]
+        goal[r.source] = r.target
+    assert all(abs(took[s] - t) < 0.01 * t for s, t in goal.items()) and abs(took["en"] - took["de"]) < 0.01 * took["en"]
+
+
 # 10 SimHash
 
 
@@ -590,7 +631,7 @@ def test_count_filter_tallies_shared_bytes(spark):
             y ^= 255 << 8 * i
         df = spark.createDataFrame([(simhash._signed(x),), (simhash._signed(y),)], "fp long")
         lists = simhash.postings(df, 3).repartition(3, "key").sortWithinPartitions("key")
-        assert simhash.tallies(lists, 3, 2).count() == math.comb(shared, 3)
+        assert simhash.tallies(lists).count() == math.comb(shared, 3)
 
 
 def test_long_lists_go_on_to_longer_keys(spark):

@@ -33,7 +33,7 @@ SHINGLE = 3
 SEED = 42
 BITS = 2
 #: Fingerprints of a posting list up to which all its pairs are tallied.
-LIST = 32
+LIST = 8
 #: Rows of sorted postings that a task looks at at once.
 AT_ONCE = 1 << 15
 #: Documents of one fingerprint from which it may be a heavy one; there are at most ``HEAVY_SHARE`` such fingerprints.
@@ -134,25 +134,16 @@ def pairs_of(rows: np.ndarray) -> np.ndarray:
     return both
 
 
-def tallies(lists: DataFrame, k: int, bits: int) -> DataFrame:
+def tallies(lists: DataFrame) -> DataFrame:
     """From (key, fp) with each key's rows together: (a, b) for each light list that a pair meets in, and for a heavy
-    list's members (a) the longer keys, as (a, null, block, key)."""
-    least = 8 - bits
-    longer = list(combinations(range(8), least))
-    masks = np.array([sum(255 << 8 * i for i in c) for c in longer], np.uint64)
-    # the longer choices that hold each shorter one
-    holding = [[n for n, c in enumerate(longer) if set(p) <= set(c)] for p in combinations(range(8), k)]
-    names = ["a", "b", "block", "key"]
+    list's members (a) the number of its choice of positions, as (a, null, choice)."""
+    names = ["a", "b", "choice"]
 
     def light(both: np.ndarray) -> pa.RecordBatch:
-        n = both.shape[1]
-        return pa.record_batch([pa.array(both[0]), pa.array(both[1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+        return pa.record_batch([pa.array(both[0]), pa.array(both[1]), pa.nulls(both.shape[1], pa.int32())], names)
 
     def heavy(key: int, fps: np.ndarray) -> pa.RecordBatch:
-        blocks = np.array(holding[key >> 40])
-        block, fp = np.repeat(blocks, len(fps)), np.tile(fps, len(blocks))
-        keys = (fp.view(np.uint64) & masks[block]).view(np.int64)
-        return pa.record_batch([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(block.astype(np.int32)), pa.array(keys)], names)
+        return pa.record_batch([pa.array(fps), pa.nulls(len(fps), pa.int64()), pa.array(np.full(len(fps), key >> 40, np.int32))], names)
 
     def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         held, size = [], 0
@@ -194,18 +185,25 @@ def tallies(lists: DataFrame, k: int, bits: int) -> DataFrame:
             for at in np.flatnonzero(size > LIST):
                 yield heavy(int(key[begin[at]]), fp[begin[at] : begin[at] + size[at]])
 
-    return lists.mapInArrow(run, "a long, b long, block int, key long")
+    return lists.mapInArrow(run, "a long, b long, choice int")
 
 
 def links(distinct: DataFrame, bits: int = BITS, k: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp) whose components are those of all pairs at ``bits`` bits or fewer."""
     k = k or width(distinct.count())
     lists = postings(distinct, k).repartition("key").sortWithinPartitions("key")
-    table, _ = written(tallies(lists, k, bits), "tallies")
+    table, _ = written(tallies(lists), "tallies")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     light = table.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("met")).where((F.col("met") >= comb(8 - bits, k)) & near)
-    others = [sum(255 << 8 * i for i in range(8) if i not in c) for c in combinations(range(8), 8 - bits)]
-    long = table.where("b is null").groupBy("block", "key").agg(F.collect_set("a").alias("fps")).where(F.size("fps") > 1)
+    longer = list(combinations(range(8), 8 - bits))
+    others = [sum(255 << 8 * i for i in range(8) if i not in c) for c in longer]
+    # the longer choices that hold each shorter one, and a fingerprint's keys under all that its heavy lists ask for
+    holding = F.array(*[F.array(*[F.lit(n) for n, c in enumerate(longer) if set(p) <= set(c)]) for p in combinations(range(8), k)])
+    masks = F.array(*[F.lit(_signed((1 << 64) - 1 ^ m)) for m in others])
+    asked = table.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.collect_set("choice").alias("choices"))  # 70 at most
+    blocks = F.array_distinct(F.flatten(F.transform("choices", lambda c: F.get(holding, c))))
+    posts = asked.select("fp", F.explode(blocks).alias("block")).withColumn("key", F.col("fp").bitwiseAND(F.get(masks, F.col("block"))))
+    long = posts.groupBy("block", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
