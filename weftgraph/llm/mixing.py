@@ -1,27 +1,38 @@
 """Mixing sources to target weights by entropy balancing.
 
-Among all ways to weight the words of a corpus that meet each source's target, entropy balancing takes the one that is
-nearest to the corpus in relative entropy: a document's rate is exponentially tilted, exp(lambda of its source). The
-convex dual is sum(size * exp(lambda)) - lambda * target, and Newton's iteration solves it. Each pass runs over the
-table of source totals as a DataFrame expression, so all sources iterate in parallel and nothing is collected.
+Among all ways to weight the words of a corpus that meet the token constraints, entropy balancing takes the one that is
+nearest to the corpus in relative entropy: a document's rate is exponentially tilted, the exponential of the sum of the
+multipliers of the constraints that it is under (its source, and further columns where they have targets too). The
+convex dual is the sum over documents of size * rate, less the sum over constraints of multiplier * target. Newton's
+iteration solves it: each step is a job that sums the gradient and the Hessian over all documents, pre-aggregated to the
+cells that are under the same constraints. With sources alone the Hessian is diagonal, and the step is a join, whatever
+the number of sources; where constraints overlap, its entries go to the driver, which solves for the step by conjugate
+gradients. Iteration ends when every constraint is met within ``TOLERANCE``, and fails where none can be.
 
 Rates become copies by controlled rounding: every document has floor(rate) copies, and documents in the order of the
-md5 of their ids take one more as long as the source's words stay within its target; then the one document whose size
-is nearest to the words still missing takes one more, if that brings the source nearer. The place where the order is cut
-is found on totals of 65,536 buckets of md5 and then within one bucket, so no task sorts a source.
+md5 of their ids take one more as long as their cell's words stay within its target; then the one document whose size
+is nearest to the words still missing takes one more, if that brings the cell nearer. The place where the order is cut
+is found on totals of 65,536 buckets of md5 and then within one bucket, so no task sorts a source. (A cell's buckets are
+one window's rows: 65,536 at most. The sources are sorted in one task: a hundred bytes each.)
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import pick, remove, written
 
 WORDS = r"[^\x20\x09-\x0D]++"
-#: Newton steps: lambda falls by about 1 a step until near its solution, so this reaches rates of e**-50.
-STEPS = 64
-#: Sources up to which the table of sources is broadcast.
+#: Newton steps at most: a multiplier falls by about 1 a step until near its solution, so this reaches rates of e**-190.
+STEPS, TOLERANCE = 200, 1e-10
+#: Entries of the Hessian of overlapping constraints up to which the driver takes them (about 100 bytes each).
+MOST_ENTRIES = 1 << 20
+#: Cells (or values of a constraint) up to which their table is broadcast: about 10 MB.
 BROADCAST_ROWS = 100_000
 
 
@@ -51,75 +62,169 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     return s.select("source", "source_size", "weight", F.least("limit", F.col("weight") * u).alias("target"))
 
 
-def solve(totals: DataFrame) -> DataFrame:
-    """Adds ``lambda``, the dual's solution, and ``rate`` to (source, source_size, target); rate 0 where the target is 0."""
-    ratio = F.col("target") / F.greatest("source_size", F.lit(1))
-    # gradient: size * e**x - target; Hessian: size * e**x; step: x - gradient / Hessian
-    step = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), lambda x, _: x - 1.0 + ratio * F.exp(-x))
-    return totals.withColumn("lambda", F.when(F.col("target") > 0, step)).withColumn("rate", F.coalesce(F.exp("lambda"), F.lit(0.0)))
+def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", few: bool = False) -> DataFrame:
+    """Joins a table of cells by their columns; nulls meet nulls."""
+    right = right.withColumnsRenamed({c: f"__{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
+    return left.join(F.broadcast(right) if few else right, same, how).drop(*[f"__{c}" for c in on])
 
 
-def _key(doc_id: str | Column) -> Column:
-    return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+def solve(cells: DataFrame, goals: dict[str, DataFrame], steps: int = STEPS) -> DataFrame:
+    """``cells`` with ``rate``: the exponential of the sum of its constraints' multipliers in the dual's solution.
 
+    cells: the columns that ``goals`` names, and size; goals: for each column its values with their targets (value,
+    target). Cells with a value whose target is 0 or missing have rate 0. ValueError where no rates meet all targets.
+    """
+    spark, kinds = cells.sparkSession, list(goals)
+    multipliers, few = {}, True
+    for kind, goal in goals.items():
+        table, path = written(goal.where("target > 0").select(F.col("value").cast(cells.schema[kind].dataType).alias(kind), "target", F.lit(0.0).alias(f"lambda_{kind}")), "multipliers")
+        few = few and table.count() <= BROADCAST_ROWS
+        multipliers[kind] = table, path
+
+    def tilted() -> DataFrame:
+        out = cells
+        for kind in kinds:
+            out = _meet(out, multipliers[kind][0].drop("target"), [kind], few=few)
+        return out.withColumn("rate", F.exp(reduce(lambda a, b: a + b, [F.col(f"lambda_{k}") for k in kinds])))
+
+    for _ in range(steps):
+        now, worst = tilted().withColumn("words", F.col("size") * F.col("rate")), 0.0
+        new: dict[str, DataFrame] = {}
+        if len(kinds) == 1:
+            kind = kinds[0]
+            # the gradient is words - target, the Hessian has words on its diagonal
+            sums = now.groupBy(kind).agg(F.sum("words").alias("words"))
+            step = (F.col("words") - F.col("target")) / F.greatest(F.col("words"), F.lit(1e-300))
+            new[kind] = _meet(multipliers[kind][0], sums, [kind], few=few).select(kind, "target", (F.col(f"lambda_{kind}") - step).alias(f"lambda_{kind}"), (F.abs(F.col("words") / F.col("target") - 1)).alias("off"))
+        else:
+            new = _newton_on_driver(now, {k: v[0] for k, v in multipliers.items()})
+        for kind in kinds:
+            table, path = written(new[kind], "multipliers")
+            worst = max(worst, table.agg(F.max("off")).first()[0] or 0.0)
+            remove(spark, multipliers[kind][1])
+            multipliers[kind] = table.drop("off"), path
+        if worst <= TOLERANCE:
+            break
+    else:
+        raise ValueError("no mix meets these targets together")
+    rates = tilted().select(*kinds, "rate")
+    return _meet(cells, rates, kinds, "left", few).withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+
+
+def _newton_on_driver(now: DataFrame, multipliers: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """One step for constraints that overlap: (value, target, multiplier, off) of each kind. The sums come from a job,
+    their number is checked first; multipliers move by 2 at most, as far from the solution the step may be too long."""
+    kinds, spark = list(multipliers), now.sparkSession
+    pairs = [now.groupBy(a, b).agg(F.sum("words").alias("words")) for a, b in combinations(kinds, 2)]
+    if sum(p.count() for p in pairs) > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} combinations of overlapping constraints")
+    tables = {k: t.toPandas() for k, t in multipliers.items()}
+    place, size = {}, 0
+    for k in kinds:
+        for v in tables[k][k].tolist():
+            place[k, v] = size
+            size += 1
+    diagonal = np.zeros(size)
+    for k in kinds:
+        for v, words in now.groupBy(k).agg(F.sum("words")).collect():
+            diagonal[place[k, v]] = words
+    entries = [(place[a, x], place[b, y], words) for (a, b), p in zip(combinations(kinds, 2), pairs, strict=True) for x, y, words in p.collect()]
+    i, j, w = (np.array(x) for x in zip(*entries, strict=True)) if entries else (np.zeros(0, int),) * 3
+    target = np.concatenate([tables[k]["target"].to_numpy(float) for k in kinds])
+    # a little more on the diagonal, as constraints whose sums agree leave directions that change nothing
+    times = lambda x: (1 + 1e-8) * diagonal * x + np.bincount(i, w * x[j], size) + np.bincount(j, w * x[i], size)
+    gradient = diagonal - target
+    # conjugate gradients, scaled by the diagonal
+    scale = 1 / np.maximum(diagonal, 1e-300)
+    x, rest = np.zeros(size), gradient.copy()
+    direction = scale * rest
+    along = first = rest @ direction
+    for _ in range(4 * size):
+        ahead = times(direction)
+        if along <= 1e-18 * first or direction @ ahead <= 0:  # what is left is up to the next step
+            break
+        length = along / (direction @ ahead)
+        x, rest = x + length * direction, rest - length * ahead
+        before, along = along, rest @ (scale * rest)
+        direction = scale * rest + along / before * direction
+    step, off, out, at = x * min(1.0, 2 / max(np.abs(x).max(initial=0), 1e-300)), np.abs(diagonal / target - 1), {}, 0
+    for k in kinds:
+        n = len(tables[k])
+        rows = [(v, t, m - s, o) for v, t, m, s, o in zip(tables[k][k].tolist(), target[at : at + n].tolist(), tables[k][f"lambda_{k}"].tolist(), step[at : at + n].tolist(), off[at : at + n].tolist(), strict=True)]
+        out[k], at = spark.createDataFrame(rows, f"{k} string, target double, lambda_{k} double, off double"), at + n
+    return out
 
-def _by_source(left: DataFrame, right: DataFrame, how: str = "inner", few: bool = False) -> DataFrame:
-    """Joins a table of sources; a null source meets a null source."""
-    right = right.withColumnRenamed("source", "__source")
-    return left.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
 
+def _key(doc_id: str | Column) -> Column:
+    return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
-def plan(sizes: DataFrame, **options) -> DataFrame:
-    """What mixes a table (doc_id, source, size): per source source_size, target, rate, copies of each document, and
-    the md5 up to which documents take one copy more ('' for none)."""
+
+def plan(sizes: DataFrame, also: dict[str, dict[str | None, float]] | None = None, **options) -> DataFrame:
+    """What mixes a table (doc_id, source, size, and the columns of ``also``): per cell source_size, target, rate, copies
+    of each document, and the md5 up to which documents take one copy more ('' for none)."""
+    also = also or {}
+    on = ["source", *also]
     keyed = sizes.withColumn("key", _key("doc_id"))
-    buckets, _ = written(keyed.groupBy("source", F.substring("key", 1, 4).alias("bucket")).agg(F.sum("size").alias("size")), "buckets")
-    rates = solve(targets(buckets.groupBy("source").agg(F.sum("size").alias("source_size")), **options))
-    rates = rates.withColumn("copies", F.floor(F.col("rate") + 1e-9)).withColumn("extra", F.col("target") - F.col("copies") * F.col("source_size"))
+    buckets, _ = written(keyed.groupBy(*on, F.substring("key", 1, 4).alias("bucket")).agg(F.sum("size").alias("size")), "buckets")
+    cells, _ = written(buckets.groupBy(*on).agg(F.sum("size").alias("size")), "cells")
+    by_source, _ = written(targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), **options), "targets")
+    goals = {"source": by_source.select(F.col("source").alias("value"), "target")}
+    if also:
+        words = by_source.agg(F.sum("target")).first()[0] or 0.0
+        for column, weights in also.items():
+            whole = sum(weights.values())
+            goals[column] = sizes.sparkSession.createDataFrame([(v, float(w) / whole * words) for v, w in weights.items()], "value string, target double")
+    rates = _meet(solve(cells, goals), by_source.select("source", "source_size", "target"), ["source"])
+    own = F.col("size") * F.col("rate") if also else F.col("target")  # a cell's words; of a whole source they are its target
+    rates = rates.withColumn("copies", F.floor(own / F.greatest("size", F.lit(1)) + 1e-9)).withColumn("extra", own - F.col("copies") * F.col("size")).drop("size")
     rates, _ = written(rates, "rates")
-    before = lambda *order: Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda *order: Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     b = buckets.withColumn("before", F.coalesce(F.sum("size").over(before("bucket")), F.lit(0)))
     # the bucket in which the extra words are reached: the last that begins before them
-    at = _by_source(b, rates.where("extra > 0").select("source", "extra")).where(F.col("before") <= F.col("extra"))
-    at = at.groupBy("source").agg(F.max_by(F.struct("bucket", "before", "extra"), "bucket").alias("at")).select("source", "at.*")
+    at = _meet(b, rates.where("extra > 0").select(*on, "extra"), on).where(F.col("before") <= F.col("extra"))
+    at = at.groupBy(*on).agg(F.max_by(F.struct("bucket", "before", "extra"), "bucket").alias("at")).select(*on, "at.*")
     few = rates.count() <= BROADCAST_ROWS
-    near = _by_source(keyed, at, few=few).where(F.substring("key", 1, 4) == F.col("bucket"))
-    near = near.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("before").alias("base"), F.first("extra").alias("extra"))
-    near = near.withColumn("until", F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
-    last = near.where(F.col("until") <= F.col("extra")).groupBy("source").agg(F.max("key").alias("key"), F.max("until").alias("until"))
+    near = _meet(keyed, at, on, few=few).where(F.substring("key", 1, 4) == F.col("bucket"))
+    near = near.groupBy(*on, "key").agg(F.sum("size").alias("size"), F.first("before").alias("base"), F.first("extra").alias("extra"))
+    near = near.withColumn("until", F.col("base") + F.sum("size").over(Window.partitionBy(*on).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
+    last = near.where(F.col("until") <= F.col("extra")).groupBy(*on).agg(F.max("key").alias("key"), F.max("until").alias("until"))
     # 4 digits of a bucket come before all its keys
-    cut = _by_source(at, last, "left").select("source", F.coalesce("key", "bucket").alias("cut"), (F.col("extra") - F.coalesce("until", "before")).alias("gap"))
+    cut = _meet(at, last, on, "left").select(*on, F.coalesce("key", "bucket").alias("cut"), (F.col("extra") - F.coalesce("until", "before")).alias("gap"))
     cut, _ = written(cut, "cuts")
-    rest = _by_source(keyed, cut, few=few).where(F.col("key") > F.col("cut"))
-    best = rest.groupBy("source").agg(F.min_by("key", F.struct(F.abs(F.col("size") - F.col("gap")), "key")).alias("fill"), F.first("gap").alias("gap"))
-    best = _by_source(keyed, best, few=few).where(F.col("key") == F.col("fill")).groupBy("source").agg(F.first("fill").alias("fill"), F.sum("size").alias("size"), F.first("gap").alias("gap"))
-    best = best.where(F.abs(F.col("size") - F.col("gap")) < F.col("gap")).select("source", "fill")
-    out = _by_source(_by_source(rates, cut, "left"), best, "left")
-    out = out.select("source", "source_size", "target", "rate", "copies", F.coalesce("cut", F.lit("")).alias("cut"), F.coalesce("fill", F.lit("")).alias("fill"))
+    rest = _meet(keyed, cut, on, few=few).where(F.col("key") > F.col("cut"))
+    best = rest.groupBy(*on).agg(F.min_by("key", F.struct(F.abs(F.col("size") - F.col("gap")), "key")).alias("fill"), F.first("gap").alias("gap"))
+    best = _meet(keyed, best, on, few=few).where(F.col("key") == F.col("fill")).groupBy(*on).agg(F.first("fill").alias("fill"), F.sum("size").alias("size"), F.first("gap").alias("gap"))
+    best = best.where(F.abs(F.col("size") - F.col("gap")) < F.col("gap")).select(*on, "fill")
+    out = _meet(_meet(rates, cut, on, "left"), best, on, "left")
+    out = out.select(*on, "source_size", "target", "rate", "copies", F.coalesce("cut", F.lit("")).alias("cut"), F.coalesce("fill", F.lit("")).alias("fill"))
     return written(out, "mixture")[0]
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, also: dict[str, dict[str | None, float]] | None = None, **options) -> DataFrame:
     """``docs`` with size, source_size, target and copies (0, 1 or 2 with the default options) for each row.
 
     ``docs`` has doc_id, source and text; null texts have no words, a null source is a source of its own and sorts
     last, null ids are all alike. Rows with the same doc_id in one source take the same number of copies. Rows
     without words go with their neighbours in the order. A source without words has target 0. Reruns agree, as the
-    order depends on ids alone. Other columns are kept but for those named like the four that are added. An empty
-    table stays empty.
+    order depends on ids alone. Other columns are kept; one that is named like an added column (in any case) gets a 0
+    after its name. An empty table stays empty. ``also`` gives further columns (of strings) with weights for their
+    values, which share the words taken by them; documents with other values are not taken. With it the copies may
+    exceed 2.
     """
-    own = pick(docs, "doc_id", "source", "text").select("doc_id", "source", size_of("text").alias("size"))
-    sizes, _ = written(own, "sizes")
-    sources = plan(sizes, **options)
-    few = sources.count() <= BROADCAST_ROWS
-    added = ("size", "source_size", "target", "copies")
-    names = [c for c in docs.columns if c.lower() not in added]
-    taken = sources.toDF(*[f"__{c}" for c in sources.columns])
+    also = also or {}
+    on = ["source", *also]
     place = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     col = {n: F.col(f"c{i}") for i, n in enumerate(docs.columns)}
-    doc_id, source = col["doc_id"].cast("string"), col["source"].cast("string")
-    out = place.join(F.broadcast(taken) if few else taken, source.eqNullSafe(F.col("__source")), "left")
-    key = F.md5(F.coalesce(doc_id, F.lit("")).cast("binary"))
+    own = pick(docs, "doc_id", *on, "text").select("doc_id", "source", *[F.col(c).cast("string").alias(c) for c in also], size_of("text").alias("size"))
+    sizes, _ = written(own, "sizes")
+    cells = plan(sizes, also, **options)
+    few = cells.count() <= BROADCAST_ROWS
+    added = ("size", "source_size", "target", "copies")
+    taken = cells.toDF(*[f"__{c}" for c in cells.columns])
+    same = reduce(lambda a, b: a & b, [col[c].cast("string").eqNullSafe(F.col(f"__{c}")) for c in on])
+    out = place.join(F.broadcast(taken) if few else taken, same, "left")
+    key = F.md5(F.coalesce(col["doc_id"].cast("string"), F.lit("")).cast("binary"))
     out = out.withColumn("__all", F.col("__copies") + ((key <= F.col("__cut")) | (key == F.col("__fill"))).cast("long"))
     values = (size_of(col["text"]), F.col("__source_size"), F.col("__target"), F.col("__all"))
-    return out.select(*[col[n].alias(n) for n in names], *[v.alias(n) for v, n in zip(values, added, strict=True)])
+    return out.select(*[c.alias(n + "0" * (n.lower() in added)) for n, c in col.items()], *[v.alias(n) for v, n in zip(values, added, strict=True)])
