@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph, mining, reports, traversal  # noqa: F401  they register their queries
+from . import context, graph, mining, reports, traversal  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from .operators import context, task, temporal
 from .operators import graph as g
-from .operators import task, temporal
 from .operators.budget import telemetry
 from .plans import lenses, traverse
 from .plans.components import components
@@ -20,18 +20,35 @@ class GraphEngine:
         self.nodes, self.edges, self.commits = nodes, edges, commits
 
     @classmethod
-    def from_tree(cls, spark, root: str, rules: list[str] | None = None, commits: DataFrame | None = None) -> GraphEngine:
-        """Scan, parse and resolve a source tree."""
+    def from_tree(cls, spark, root: str, rules: list[str] | None = None, commits: DataFrame | None = None, with_log: bool = False) -> GraphEngine:
+        """Scan, parse and resolve a source tree; ``with_log`` reads its commits from git."""
         from .lang import parse_files
         from .plans.resolve import resolve
+        from .sources import git
         from .sources.files import scan
         from .sources.tables import written
 
+        commits = git.log(spark, root) if with_log and commits is None else commits
         nodes, raw, _ = parse_files(written(scan(spark, root, rules).select("path", "kind", "text"), "files")[0])
         nodes, raw = written(nodes, "nodes")[0], written(raw, "raw-edges")[0]
         edges, outside = resolve(nodes.select("id", "kind", "file"), raw)
         return cls(nodes.unionByName(outside, allowMissingColumns=True), written(edges, "edges")[0], commits)
 
+    @classmethod
+    def federated(cls, engines: dict[str, GraphEngine]) -> GraphEngine:
+        """The graphs of several roots as one; ids and files get their root's name, so that equal paths stay apart."""
+        parts = [lenses.rooted(e.nodes, e.edges, root) for root, e in engines.items()]
+        nodes, edges = parts[0]
+        for n, e in parts[1:]:
+            nodes, edges = nodes.unionByName(n, allowMissingColumns=True), edges.unionByName(e, allowMissingColumns=True)
+        return cls(nodes, edges)
+
+    def save(self, path: str) -> None:
+        store.save(self.nodes, self.edges, path)
+
+    def graphml(self, path: str) -> None:
+        store.graphml(self.nodes, self.edges, path)
+
     @classmethod
     def load(cls, spark, path: str) -> GraphEngine:
         return cls(*store.load(spark, path))
@@ -62,6 +79,13 @@ class GraphEngine:
     def resolve(self, text: str, top: int = 10) -> DataFrame:
         return task.resolve_task(self.nodes, text, top)
 
+    def explain(self, text: str, top: int = 5) -> DataFrame:
+        return task.explain(self.nodes, text, top)
+
+    def compile(self, text: str, budget: int = 1500, **options) -> context.Package:
+        """Entries, neighbours, files, limits, risk and plan of a task, and its text within a budget."""
+        return context.compile_context(self.nodes, self.edges, text, budget, **options)
+
     def context(self, text: str, budget: int = 1500, entries: int = 5) -> DataFrame:
         """The pack around the first symbols of a task."""
         found = [row.id for row in self.resolve(text, entries).collect()]
@@ -98,5 +122,16 @@ class GraphEngine:
     def report(self, top: int = 10) -> str:
         return store.report(self.nodes, self.edges, top)
 
+    def questions(self, most: int = 10) -> list[str]:
+        n = self.communities().select("community").distinct().count()
+        return g.questions(self.god_nodes(3), self.cycles(), self.surprising(3), n, most)
+
+    def kinds(self) -> DataFrame:
+        return g.kind_counts(self.nodes)
+
+    def routes(self) -> DataFrame:
+        """INVOKES edges: clients with the routes that they reach."""
+        return self.edges.where("type = 'INVOKES'").orderBy("src", "dst")
+
     def stats(self, calls: DataFrame) -> DataFrame:
         return telemetry(calls)

@@ -109,3 +109,50 @@ def routes_match(client: Column, server: Column) -> Column:
     plain = lambda x: F.filter(tail(x), lambda s: s != ":param")
     # slice wants a start of 1 or more, so empty routes are settled first
     return F.when((n == 0) | (F.size(literals(client)) == 0), False).when(client == server, True).when((F.size(a) != F.size(b)) & (n < 2), False).otherwise(same & F.arrays_overlap(plain(a), plain(b)))
+
+
+def template_only(url: Column) -> Column:
+    """Whether a client's URL has no literal segment, so that it can't name a route: empty, a bare variable, a template
+    around a path, or parameters alone."""
+    u = F.trim(F.coalesce(url, F.lit("")))
+    return (u == "") | u.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$") | (u.contains("${") & F.lower(u).contains("path")) | (F.size(literals(normalize_route(u))) == 0)
+
+
+def citation(file: Column, start: Column, end: Column) -> Column:
+    """file:start-end, as far as there are lines; '' without a file."""
+    at = F.when(start.isNotNull(), F.concat(F.lit(":"), start.cast("string"), F.when(end.isNotNull(), F.concat(F.lit("-"), end.cast("string"))).otherwise("")))
+    return F.when(F.coalesce(file, F.lit("")) == "", "").otherwise(F.concat(file, F.coalesce(at, F.lit(""))))
+
+
+def first_sentence(text: Column) -> Column:
+    """A story up to its first full stop."""
+    return F.when(F.trim(text) != "", F.concat(F.trim(F.substring_index(text, ".", 1)), F.lit(".")))
+
+
+def slug(text: Column) -> Column:
+    """A name for files and anchors: letters and digits in lower case, joined by hyphens; a digest where none are left."""
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.when(plain != "", F.substring(plain, 1, 100)).otherwise(F.substring(F.sha2(text, 256), 1, 16))
+
+
+def json_object(text: Column) -> Column:
+    """The JSON object in a text as text: the whole of it, else in a fenced block, else from the first to the last brace;
+    null where none of these is one."""
+    t = F.trim(text)
+    fenced = F.regexp_extract(t, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
+    braced = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+    is_object = lambda x: F.coalesce(x.rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit(False)) & F.try_parse_json(x).isNotNull()
+    return F.when(is_object(t), t).when(is_object(fenced), fenced).when(is_object(braced), braced)
+
+
+def symbols_match(candidate: Column, gold: Column) -> Column:
+    """Whether a node's id is meant by a gold name: equal, or its end after :: or a dot; case aside."""
+    c, g = F.lower(F.trim(candidate)), F.lower(F.trim(gold))
+    return (c == g) | c.endswith(F.concat(F.lit("::"), g)) | c.endswith(F.concat(F.lit("."), g))
+
+
+def files_match(candidate: Column, gold: Column) -> Column:
+    """Whether two paths mean one file: one ends with the other; slashes, case and leading dots aside."""
+    plain = lambda x: F.lower(F.regexp_replace(F.trim(F.replace(x, F.lit("\\"), F.lit("/"))), "^[./]+", ""))
+    c, g = plain(candidate), plain(gold)
+    return c.endswith(g) | g.endswith(c)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lenses import NOISE_KINDS
+from ..plans.lenses import NOISE_KINDS, language
 
 # Names of builtins and of plain data fields, which are no abstractions of a code base.
 BUILTIN_NAMES = """str int float bool bytes bytearray complex object True False None MagicMock Mock AsyncMock
@@ -155,4 +155,28 @@ def surprising(nodes: DataFrame, edges: DataFrame, communities: DataFrame | None
 
 
 def language_breakdown(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("lang").agg(F.count("*").alias("n_nodes"), F.countDistinct("file").alias("n_files")).orderBy(F.desc("n_nodes"), "lang")
+    """(lang, n_nodes, n_files) by language; where nodes have no column lang, it is that of their ids."""
+    own = nodes if "lang" in nodes.columns else nodes.withColumn("lang", language(F.col("id")))
+    return own.groupBy("lang").agg(F.count("*").alias("n_nodes"), F.countDistinct("file").alias("n_files")).orderBy(F.desc("n_nodes"), "lang")
+
+
+def kind_counts(rows: DataFrame, column: str = "kind") -> DataFrame:
+    """(value, n) of a column, the commonest first: kinds of nodes, types of files or edges, categories of failures."""
+    return rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
+
+
+def exportable(node_id: Column, kind: Column) -> Column:
+    """Whether a node gets a note of its own: no variables, tokens or keys, no indexed or dotted configuration keys."""
+    name = last_part(node_id)
+    return ~(F.lower(kind).isin("variable", "token", "key") | node_id.rlike(r"[\[\]]") | (kind.isin("json_config", "yaml_config") & name.contains(".")))
+
+
+def questions(gods: DataFrame, cycles: DataFrame | None, surprises: DataFrame, n_communities: int, most: int = 10) -> list[str]:
+    """Questions that a graph suggests, from its first results."""
+    out = [f"What depends on `{r.label}`, and what breaks when it changes? ({r.degree} links)" for r in gods.orderBy(F.desc("degree"), "id").limit(3).collect()]
+    if cycles is not None and (first := cycles.orderBy("length", "cycle").limit(1).collect()):
+        out.append(f"Can the import cycle {' -> '.join(map(str, first[0].cycle))} be broken?")
+    out += [f"Why does `{r.src_label}` reach `{r.dst_label}` by {r.type}?" for r in surprises.orderBy(F.desc("score"), "src", "dst").limit(3).collect()]
+    if n_communities > 1:
+        out.append(f"Do the {n_communities} communities match the folders?")
+    return out[:most]

@@ -68,6 +68,13 @@ def bridges_lens(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kept.join(ids, F.expr("src = __id"), "left_semi").join(ids, F.expr("dst = __id"), "left_semi")
 
 
+def rooted(nodes: DataFrame, edges: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """A graph whose inner ids and files lie under a root's name, for a union with other graphs; external ids are shared."""
+    inner = lambda c: F.when(F.col(c).startswith("ext:"), F.col(c)).otherwise(F.regexp_replace(c, "^([^:]*):", f"$1:{root}/"))
+    n = nodes.withColumns({"id": inner("id"), "file": F.when(F.coalesce("file", F.lit("")) != "", F.concat(F.lit(f"{root}/"), "file")).otherwise(F.col("file")), "root": F.lit(root)})
+    return n, edges.withColumns({"src": inner("src"), "dst": inner("dst")})
+
+
 def variable_flow(edges: DataFrame, variable: str) -> DataFrame:
     """(role, ids): who writes, reads and holds the variables whose id ends with a name."""
     hit = F.col("dst").endswith(f"::{variable}") | F.col("dst").endswith(f".{variable}") | (F.col("dst") == variable)

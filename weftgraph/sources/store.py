@@ -28,8 +28,9 @@ def load_file(spark: SparkSession, path: str, file: str, shards: int = 64) -> Da
 
 
 def _sum(df: DataFrame, *cols: str) -> DataFrame:
-    """Count and an order-free digest of rows."""
-    return df.agg(F.count("*").alias("n"), F.hex(F.bit_xor(F.xxhash64(*cols))).alias("digest"))
+    """Count and an order-free digest of a multiset of rows: a sum of hashes, so that rows which repeat count each time."""
+    each = F.xxhash64(*[F.col(c) if c in df.columns else F.lit(None).cast("string") for c in cols])
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(each.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
 
 
 def manifest(nodes: DataFrame, edges: DataFrame, version: str = "1") -> DataFrame:
