@@ -12,8 +12,8 @@ gradients. Iteration ends when every constraint is met within ``TOLERANCE``, and
 Rates become copies by controlled rounding: every document has floor(rate) copies, and documents in the order of the
 md5 of their ids take one more as long as their cell's words stay within its target; then the one document whose size
 is nearest to the words still missing takes one more, if that brings the cell nearer. The place where the order is cut
-is found on totals of 65,536 buckets of md5 and then within one bucket, so no task sorts a source. (A cell's buckets are
-one window's rows: 65,536 at most. The sources are sorted in one task: a hundred bytes each.)
+is found on totals of 256 groups of 256 buckets of md5 and then within one bucket, so no task sorts a source. (The sources
+themselves are sorted in one task: a hundred bytes each.)
 """
 
 from __future__ import annotations
@@ -180,7 +180,13 @@ def plan(sizes: DataFrame, also: dict[str, dict[str | None, float]] | None = Non
     rates = rates.withColumn("copies", F.floor(own / F.greatest("size", F.lit(1)) + 1e-9)).withColumn("extra", own - F.col("copies") * F.col("size")).drop("size")
     rates, _ = written(rates, "rates")
     before = lambda *order: Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    b = buckets.withColumn("before", F.coalesce(F.sum("size").over(before("bucket")), F.lit(0)))
+    # words before a bucket: those of the 256 groups of buckets before its own, and those before it in its group
+    group = F.substring("bucket", 1, 2).alias("group")
+    groups = buckets.groupBy(*on, group).agg(F.sum("size").alias("size"))
+    groups = groups.select(*on, "group", F.coalesce(F.sum("size").over(before("group")), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*on, F.substring("bucket", 1, 2)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    b = buckets.select(*on, "bucket", "size", group, F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("within"))
+    b = _meet(b, groups, [*on, "group"]).select(*on, "bucket", "size", (F.col("base") + F.col("within")).alias("before"))
     # the bucket in which the extra words are reached: the last that begins before them
     at = _meet(b, rates.where("extra > 0").select(*on, "extra"), on).where(F.col("before") <= F.col("extra"))
     at = at.groupBy(*on).agg(F.max_by(F.struct("bucket", "before", "extra"), "bucket").alias("at")).select(*on, "at.*")
