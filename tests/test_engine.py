@@ -67,3 +67,18 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     want = {(r.tool, r.calls) for r in spark.read.parquet(path).groupBy("event_type").count().toDF("tool", "calls").collect()}
     assert {(r.tool, r.calls) for r in events.stream_telemetry(spark, path).select("tool", "calls").collect()} == want
     assert events.sliding(spark.read.parquet(path), "1 hour", "30 minutes").count() > 0 and events.first_sightings(spark.read.parquet(path), "user_id").count() > 0
+
+
+def test_watch_goes_on_after_a_restart(spark, tmp_path):
+    """A stream that is started again compares with the listing before, not with the first."""
+    schema, folder, seen = "path string, mtime long, size long", tmp_path / "listings", []
+    listing = lambda rows: spark.createDataFrame(rows, schema).coalesce(1)
+    note = lambda changes, number: seen.append((number, {r.path: r.change for r in changes.collect()}))
+    start = lambda: sync.watch(spark, str(folder), listing([]), note, str(tmp_path / "checkpoint")).awaitTermination()
+    listing([("a", 1, 1), ("b", 1, 1)]).write.mode("append").parquet(str(folder))
+    start()
+    listing([("a", 2, 1), ("c", 1, 1)]).write.mode("append").parquet(str(folder))
+    start()
+    listing([("a", 2, 1)]).write.mode("append").parquet(str(folder))
+    start()
+    assert seen == [(0, {"a": "created", "b": "created"}), (1, {"a": "changed", "b": "deleted", "c": "created"}), (2, {"c": "deleted"})]

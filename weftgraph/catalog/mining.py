@@ -46,7 +46,16 @@ def temporal_split(spark, d):
     return tm.split_at(commits(spark, d)).groupBy("part").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query()
+@query(f"""with {_COMMITS}, by_ as (select ts, sum(count(*)) over (order by ts) as upto from c group by ts), n as (select count(*) as total from c),
+cut as (select min(ts) as cut from by_, n where upto > least(greatest(2, floor(0.7::double * total)::bigint), total - 1)), tr as (select c.* from c, cut where ts <= cut),
+te as (select hash, list_distinct(files) as files from c, cut where ts > cut and len(files) between 2 and 50), latest as (select max(ts) as latest from tr), h as (select unnest([90.0, 180.0])::double as half_life),
+i as (select half_life, hash, age, exp(-ln(2) / half_life * age) as weight, unnest(list_distinct(files)) as file from (select hash, files, greatest(0.0::double, (latest - ts) / 86400) as age from tr, latest where len(files) between 2 and 50), h),
+p as (select a.half_life, a.file as file_a, b.file as file_b, sum(a.weight) as weight, count(*) as n from i a join i b on a.half_life = b.half_life and a.hash = b.hash and a.file <> b.file group by 1, 2, 3),
+s as (select half_life, file as file_a, sum(weight) as weight_a from i group by 1, 2), rel as (select half_life, file_a, file_b, round(least(0.99::double, weight / weight_a), 4) as probability from p join s using (half_life, file_a) where n >= 2 and least(0.99::double, weight / weight_a) >= 0.25),
+k as (select *, row_number() over (partition by half_life, file_a order by probability desc, file_b) as rank from rel), a as (select hash, unnest(files) as file_a, files from te where len(files) > 1),
+q as (select half_life, hash, file_a, len(files) as m, count(*) filter (rank <= 5 and list_contains(files, file_b)) as at_5, count(*) filter (list_contains(files, file_b)) as at_10, min(case when list_contains(files, file_b) then rank end) as first from a join k using (file_a) where rank <= 10 group by 1, 2, 3, 4)
+select half_life, count(hash) as n, round(avg(at_5 / 5::double), 4) as precision_5, round(avg(at_5 / (m - 1)::double), 4) as recall_5, round(avg(at_10 / 10::double), 4) as precision_10, round(avg(at_10 / (m - 1)::double), 4) as recall_10, round(avg(case when hash is not null then coalesce(1 / first::double, 0) end), 4) as mrr
+from h left join q using (half_life) group by 1""")
 def temporal_eval(spark, d):
     return tm.evaluate(commits(spark, d), half_lives=(90.0, 180.0))
 
@@ -199,8 +208,9 @@ def identifier_search(spark, d):
     return r.identifier_search(nodes(spark, d), ["red", "catalog", "china", "42"])
 
 
-@query("""with g as (select page_id as id, list_distinct([lower(url)[i:i + 2] for i in range(1, length(url) - 1)]) as g from pages), b as (select distinct p_partkey as id, list_distinct([lower(p_name)[i:i + 2] for i in range(1, length(p_name) - 1)]) as g from part where p_partkey <= 200)
+@query("""with g as (select page_id as id, list_distinct([lower(url)[i:i + 2] for i in range(1, length(url) - 1)]) as g from pages), b as (select p_name as id, list_distinct([lower(p_name)[i:i + 2] for i in range(1, length(p_name) - 1)]) as g from (select distinct p_name from part))
 select * from (select b.id as a_id, g.id as b_id, round(len(list_intersect(b.g, g.g))::double / (len(b.g) + len(g.g) - len(list_intersect(b.g, g.g))), 6) as jaccard from b, g) where jaccard > 0.05""")
 def trigram_jaccard(spark, d):
-    parts = table(spark, d, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("a_id"), F.col("p_name").alias("text"))
+    """The distinct names of all parts against all pages."""
+    parts = table(spark, d, "part").select(F.col("p_name").alias("a_id"), F.col("p_name").alias("text")).distinct()
     return r.trigram_jaccard(parts, table(spark, d, "pages").select(F.col("page_id").alias("b_id"), F.col("url").alias("text")))

@@ -13,7 +13,7 @@ from ..streaming import events as ev
 from .registry import query
 
 _RANKED = """r as (select o_custkey % 200 as task, l_partkey % 500 as item, row_number() over (partition by o_custkey % 200 order by sum(l_quantity) desc, l_partkey % 500) as rank from orders join lineitem on l_orderkey = o_orderkey group by 1, 2),
-k as (select * from r where rank <= 20), g as (select distinct o_custkey % 200 as task, l_suppkey as item from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 50 = 0 and o_custkey % 200 <> 13)"""
+k as (select * from r where rank <= 20), g as (select distinct o_custkey % 200 as task, l_suppkey as item from orders join lineitem on l_orderkey = o_orderkey where l_returnflag = 'R' and l_quantity > 45 and o_custkey % 200 <> 13)"""
 
 
 def _lines(spark, d):
@@ -26,7 +26,7 @@ def _ranked(spark, d):
 
 
 def _gold(spark, d):
-    return _lines(spark, d).where("o_orderkey % 50 = 0 and task <> 13").select("task", F.col("l_suppkey").alias("item")).distinct()
+    return _lines(spark, d).where("l_returnflag = 'R' and l_quantity > 45 and task <> 13").select("task", F.col("l_suppkey").alias("item")).distinct()
 
 
 _RECALL = f"""{_RANKED}, f as (select task, min(rank) as first from k join g using (task, item) group by 1),

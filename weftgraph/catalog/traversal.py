@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import confidence as c
@@ -27,8 +28,8 @@ _NOISY = "list_reduce(list_prepend(1.0::double, list_sort(list(p))), lambda a, x
 
 @query(f"select dst as id, count(*) as n, round(least(0.99::double, 1.0::double - {_NOISY}), 6) as confidence from (select dst, {_PRIOR} as p from edges) group by dst", views=True)
 def noisy_or(spark, d):
-    e = edges(spark, d).withColumn("p", c.edge_prior(F.col("type"), F.col("confidence")))
-    return e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), c.noisy_or(F.collect_list("p")).alias("confidence"))
+    e = edges(spark, d).groupBy(F.col("dst").alias("id"), c.edge_prior(F.col("type"), F.col("confidence")).alias("p")).agg(F.count("*").alias("n"))
+    return e.groupBy("id").agg(F.sum("n").alias("n"), c.noisy_or_of_counts(F.collect_list(F.struct("p", "n"))).alias("confidence"))  # a few priors a node
 
 
 def _order(spark, d):
@@ -99,35 +100,42 @@ def reach_by_depth(spark, d):
 
 
 def trade(spark, d):
-    """(src, dst): a customer's and a supplier's nation where the orders between them are many for the first."""
+    """(src, dst): a customer's and a supplier's nation where the line items between them are 5 % above the first's mean."""
     t = lambda name: table(spark, d, name)
     n = t("lineitem").join(t("orders"), F.expr("l_orderkey = o_orderkey")).join(t("customer"), F.expr("o_custkey = c_custkey")).join(t("supplier"), F.expr("l_suppkey = s_suppkey"))
-    n = n.where("(l_orderkey + l_suppkey) % 97 = 0").groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count("*").alias("n"))
-    return n.where("n >= 3 and src <> dst").select("src", "dst")
+    n = n.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("src")  # a row for each nation
+    return n.withColumns({"all": F.sum("n").over(own), "to": F.count("*").over(own)}).where("n * to * 100 > all * 105 and src <> dst").select("src", "dst")
 
 
-_TRADE = """t as (select c_nationkey::bigint as src, s_nationkey::bigint as dst from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
- where (l_orderkey + l_suppkey) % 97 = 0 and c_nationkey <> s_nationkey group by 1, 2 having count(*) >= 3)"""
+_TRADE = """t as (select src, dst from (select c_nationkey::bigint as src, s_nationkey::bigint as dst, count(*) as n, sum(count(*)) over (partition by c_nationkey) as all_, count(*) over (partition by c_nationkey) as to_
+ from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2, c_nationkey) where n * to_ * 100 > all_ * 105 and src <> dst)"""
 
 
-@query(f"""with {_TRADE} select 2 as length, [a.src, b.src, a.src] as cycle from t a join t b on a.dst = b.src and b.dst = a.src where a.src < b.src
-union all select 3, [a.src, b.src, c.src, a.src] from t a join t b on a.dst = b.src join t c on b.dst = c.src and c.dst = a.src where a.src < b.src and a.src < c.src
-union all select 4, [a.src, b.src, c.src, e.src, a.src] from t a join t b on a.dst = b.src join t c on b.dst = c.src join t e on c.dst = e.src and e.dst = a.src where a.src < b.src and a.src < c.src and a.src < e.src and b.src <> e.src""")
+def _cycles_of(n: int) -> str:
+    """Elementary cycles of n nodes from their least one."""
+    x = [f"x{i}" for i in range(n)]
+    joins = " ".join(f"join t {b} on {a}.dst = {b}.src" for a, b in zip(x, x[1:], strict=False))
+    apart = [f"x0.src < {b}.src" for b in x[1:]] + [f"{a}.src <> {b}.src" for i, a in enumerate(x[1:], 1) for b in x[i + 1 :]]
+    return f"select {n} as length, [{', '.join(f'{a}.src' for a in x)}, x0.src] as cycle from t x0 {joins} where {x[-1]}.dst = x0.src and {' and '.join(apart)}"
+
+
+@query(f"with {_TRADE} {' union all '.join(_cycles_of(n) for n in range(2, 5))}")
 def import_cycles(spark, d):
     return tr.cycles(trade(spark, d), 4)
 
 
-_LINKS = "k as (select o_custkey as a, 1000000 + l_suppkey as b from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 41 = 0 and l_linenumber = 1)"
+@query()
+def connected_components(spark, d):
+    """Customers and suppliers that orders link, over all line items."""
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.expr("o_orderkey = l_orderkey"))
+    return components(o.select(F.col("o_custkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")))
 
 
-@query(f"""with recursive {_LINKS}, u as (select a, b from k union select b, a from k), w as (select a as node, a as other from u union select w.node, u.b from w join u on u.a = w.other)
-select node, min(other) as component from w group by 1""")
-def connected_components(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 41 = 0").join(table(spark, d, "lineitem").where("l_linenumber = 1"), F.expr("o_orderkey = l_orderkey"))
-    return components(o.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")))
+_ROUND = "v{i} as (select src as id, community from u join l{j} on dst = id union all select id, community from l{j}), l{i} as (select id, community from (select id, community, row_number() over (partition by id order by count(*) desc, community) as k from v{i} group by id, community) where k = 1)"
 
 
-@query()
+@query(f"with {_TRADE}, u as (select src, dst from t union select dst, src from t), l0 as (select distinct src as id, src as community from u), {', '.join(_ROUND.format(i=i, j=i - 1) for i in range(1, 6))} select * from l5")
 def label_propagation(spark, d):
     return tr.label_propagation(trade(spark, d))
 
@@ -158,13 +166,13 @@ def community_labels(spark, d):
     return tr.community_labels(n.select("id", F.col("complexity").alias("community")), n)
 
 
-@query("""with e as (select distinct 'py:sales/' || o_custkey || '::' || o_orderkey as src, c_name as dst, o_orderkey % 3 as k from orders join customer on o_custkey = c_custkey where o_orderkey % 5 = 0),
+@query("""with e as (select distinct 'py:sales/' || o_custkey || '::' || o_orderkey as src, c_name as dst, o_orderkey % 3 as k from orders join customer on o_custkey = c_custkey),
 c as (select c_name, min('py:crm/' || c_nationkey || '::' || c_name) as id, count(*) as n from customer group by 1)
 select src, case when k = 0 then 'ext:py:unresolved:gone_' || dst else id end as dst, 'CALLS' as type, case when k = 0 then 'external' when n > 1 then 'ambiguous' else 'resolved' end as confidence from e join c on c_name = dst""")
 def resolve_symbols(spark, d):
     from ..plans.resolve import resolve
 
-    o = table(spark, d, "orders").where("o_orderkey % 5 = 0").join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey"))
     name = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("gone_"), "c_name")).otherwise(F.col("c_name"))
     raw = o.select(F.concat(F.lit("py:sales/"), "o_custkey", F.lit("::"), "o_orderkey").alias("src"), name.alias("dst"), F.lit("CALLS").alias("type"), F.lit("unresolved").alias("confidence"))
     return resolve(nodes(spark, d).select("id", "kind", "file"), raw)[0]

@@ -43,6 +43,13 @@ def noisy_or(values: Column) -> Column:
     return F.round(F.least(F.lit(CAP), 1.0 - unseen), 6)
 
 
+def noisy_or_of_counts(counts: Column) -> Column:
+    """The same of an array of (p, n): values with how often each occurs. Values are few where confidences are rounded, so
+    a node of any degree has a short array."""
+    unseen = F.aggregate(F.array_sort(counts), F.lit(1.0), lambda acc, x: acc * F.pow(F.greatest(F.lit(0.0), 1.0 - x["p"]), x["n"]))
+    return F.round(F.least(F.lit(CAP), 1.0 - unseen), 6)
+
+
 def graph_score(combined: Column, distance: Column) -> Column:
     """combined * exp(-0.70 * (distance - 1)), 6 digits."""
     return F.round(combined * F.exp(-0.70 * (F.greatest(distance, F.lit(1)) - 1)), 6)

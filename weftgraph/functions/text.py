@@ -19,35 +19,37 @@ def _mapped(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
+_VERB = "verb"
+# Endings of plurals of which no other rule follows, then other endings, the first that fits: (ending as a
+# pattern, characters that a word has to have more than, characters cut off, what takes their place).
+PLURALS = [("ies", 4, 3, "y"), ("(?:sses|shes|ches|xes)", 4, 2, "")]
+ENDINGS = [
+    ("ation", 6, 5, "ate"), ("ation", 0, 0, ""), ("ition", 6, 5, "ite"), ("tion", 5, 3, ""), ("ying", 5, 4, "y"), ("ing", 4, 3, _VERB), ("ied", 4, 3, "y"), ("ed", 4, 2, _VERB),
+]
+
+
+def _verb(base: Column) -> Column:
+    """A verb whose ending was cut: with its silent e, and without a doubled last letter."""
+    return F.when(base.rlike("(at|iz|id)$") | base.isin(SILENT_E), F.concat(base, F.lit("e"))).when(base.rlike(r"([^s])\1$"), F.substring(base, F.lit(1), F.length(base) - 1)).otherwise(base)
+
+
+def _by_rules(word: Column, rules: list[tuple[str, int, int, str]], otherwise: Column) -> Column:
+    out = None
+    for ending, longer, cut, put in rules:
+        base = F.substring(word, F.lit(1), F.length(word) - cut)
+        new = _verb(base) if put == _VERB else F.concat(base, F.lit(put))
+        fits = word.rlike(f"{ending}$") & (F.length(word) > longer)
+        out = F.when(fits, new) if out is None else out.when(fits, new)
+    return out.otherwise(otherwise)
+
+
 def stem(word: Column) -> Column:
-    """A careful stem of a term: plurals, -ation, -tion, -ing, -ed and a few known words."""
+    """A careful stem of a term: short words stay, known words have their own, then plurals, then other endings."""
     w = F.lower(F.trim(word))
-    n = F.length(w)
-    cut = lambda x, k: F.substring(x, F.lit(1), F.length(x) - k)
-
-    def verb(base: Column) -> Column:
-        twice = base.rlike(r"([^s])\1$")
-        return F.when(base.rlike("(at|iz|id)$") | base.isin(SILENT_E), F.concat(base, F.lit("e"))).when(twice, cut(base, 1)).otherwise(base)
-
-    single = F.when(w.rlike("s$") & ~w.rlike("(ss|us|is)$") & (n > 3), cut(w, 1)).otherwise(w)
-    m = F.length(single)
-    rest = (
-        F.when(single.endswith("ation") & (m > 6), F.concat(cut(single, 5), F.lit("ate")))
-        .when(single.endswith("ition") & (m > 6), F.concat(cut(single, 5), F.lit("ite")))
-        .when(single.endswith("tion") & (m > 5) & ~single.endswith("ation"), cut(single, 3))
-        .when(single.endswith("ying") & (m > 5), F.concat(cut(single, 4), F.lit("y")))
-        .when(single.endswith("ing") & (m > 4), verb(cut(single, 3)))
-        .when(single.endswith("ied") & (m > 4), F.concat(cut(single, 3), F.lit("y")))
-        .when(single.endswith("ed") & (m > 4), verb(cut(single, 2)))
-        .otherwise(F.coalesce(_mapped(AGENTS, single), single))
-    )
-    return (
-        F.when(n <= 3, w)
-        .when(_mapped(SYNONYMS, w).isNotNull(), _mapped(SYNONYMS, w))
-        .when(w.endswith("ies") & (n > 4), F.concat(cut(w, 3), F.lit("y")))
-        .when(w.rlike("(sses|shes|ches|xes)$") & (n > 4), cut(w, 2))
-        .otherwise(rest)
-    )
+    plural = w.rlike("s$") & ~w.rlike("(ss|us|is)$") & (F.length(w) > 3)
+    single = F.when(plural, F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
+    rest = _by_rules(single, ENDINGS, F.coalesce(_mapped(AGENTS, single), single))
+    return F.when(F.length(w) <= 3, w).otherwise(F.coalesce(_mapped(SYNONYMS, w), _by_rules(w, PLURALS, rest)))
 
 
 def normalize_task(text: Column) -> Column:

@@ -61,6 +61,16 @@ def god_nodes(nodes: DataFrame, edges: DataFrame, top: int = 10, hub_percentile:
     return kept.select(*cols).orderBy(F.desc("degree"), "id").limit(top)
 
 
+def _first_with_total(parts: list[DataFrame], order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each table in an order, with its number of rows as ``total``: counted by partial sums and
+    cut by partial tops, so that no task holds all rows of a hub."""
+    out = None
+    for part in parts:
+        one = part.orderBy(*order).limit(most).join(F.broadcast(part.agg(F.count("*").alias("total"))))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def neighbors(nodes: DataFrame, edges: DataFrame, node_id: str, direction: str = "both", most: int = 30) -> DataFrame:
     """(direction, peer, type, confidence, peer_kind, peer_file, total, truncated): the edges around a node, at most
     ``most`` each way, by peer and type."""
@@ -69,11 +79,9 @@ def neighbors(nodes: DataFrame, edges: DataFrame, node_id: str, direction: str =
         parts.append(edges.where(F.col("dst") == node_id).select(F.lit("incoming").alias("direction"), F.col("src").alias("peer"), "type", "confidence"))
     if direction in ("both", "outgoing", "downstream"):
         parts.append(edges.where(F.col("src") == node_id).select(F.lit("outgoing").alias("direction"), F.col("dst").alias("peer"), "type", "confidence"))
-    e = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
-    w = Window.partitionBy("direction")
-    e = e.withColumn("total", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("peer", "type", "confidence"))).where(F.col("place") <= most)
+    e = _first_with_total(parts, ["peer", "type", "confidence"], most)
     peers = nodes.select(F.col("id").alias("peer"), F.col("kind").alias("peer_kind"), F.col("file").alias("peer_file"))
-    return e.join(peers, "peer", "left").select("direction", "peer", "type", "confidence", "peer_kind", "peer_file", "total", (F.col("total") > most).alias("truncated"))
+    return peers.join(F.broadcast(e), "peer", "right").select("direction", "peer", "type", "confidence", "peer_kind", "peer_file", "total", (F.col("total") > most).alias("truncated"))
 
 
 def one_hop(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -129,29 +137,32 @@ def data_trace(nodes: DataFrame, edges: DataFrame, entity: str, most: int = 30)
     hit = (dst == low) | dst.endswith(f":{low}") | dst.endswith(f".{low}") | dst.rlike(token)
     role = F.when(F.col("type") == "WRITES", "writer").when(F.col("type") == "READS", "reader")
     e = edges.where(hit & role.isNotNull()).select(role.alias("role"), "src").distinct()
-    w = Window.partitionBy("role")
-    e = e.withColumn("total", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("src"))).where(F.col("place") <= most)
-    return e.join(nodes.select(F.col("id").alias("src"), "file", "sig"), "src", "left").select("role", "src", "file", "sig", "total")
+    e = _first_with_total([e.where(F.col("role") == name) for name in ("writer", "reader")], ["src"], most)
+    return nodes.select(F.col("id").alias("src"), "file", "sig").join(F.broadcast(e), "src", "right").select("role", "src", "file", "sig", "total")
 
 
 def surprising(nodes: DataFrame, edges: DataFrame, communities: DataFrame | None = None, top: int = 10) -> DataFrame:
     """Edges that cross files, folders, file types or communities, or are unsure, by an additive score; the best of each
     pair of nodes."""
-    side = lambda end: nodes.select(F.col("id").alias(end), F.col("file").alias(f"{end}_file"), label(F.col("id"), F.col("sig")).alias(f"{end}_label"))
     folder = lambda f: F.when(f.contains("/"), F.regexp_replace(f, "/[^/]*$", "")).otherwise(".")
     suffix = lambda f: F.lower(F.regexp_extract(f, r"[^/.][^/]*?(\.[^./]*)$", 1))
-    e = edges.where("type <> 'DEFINED_IN'").join(side("src"), "src").join(side("dst"), "dst")
+    unsure = F.when(F.col("confidence").isin("ambiguous", "dynamic", "unresolved"), 3).when(F.col("confidence") == "external", 1).otherwise(0)
+    # what sets edges of one pair apart is known before any node is joined, so pairs come first
+    pairs = edges.where("type <> 'DEFINED_IN'").groupBy("src", "dst").agg(F.min(F.struct((-unsure).alias("less"), "type", "confidence")).alias("best"))
+    e = pairs.select("src", "dst", (-F.col("best.less")).alias("unsure"), "best.type", "best.confidence")
+    for end in ("src", "dst"):
+        e = e.join(nodes.select(F.col("id").alias(end), F.col("file").alias(f"{end}_file")), end)
     a, b = F.col("src_file"), F.col("dst_file")
     cross = F.coalesce((a != "") & (b != "") & (a != b), F.lit(False))
-    unsure = F.when(F.col("confidence").isin("ambiguous", "dynamic", "unresolved"), 3).when(F.col("confidence") == "external", 1).otherwise(0)
-    score = unsure + F.when(cross, 1 + F.when(folder(a) != folder(b), 2).otherwise(0) + F.when((suffix(a) != "") & (suffix(b) != "") & (suffix(a) != suffix(b)), 3).otherwise(0)).otherwise(0)
+    score = F.col("unsure") + F.when(cross, 1 + F.when(folder(a) != folder(b), 2).otherwise(0) + F.when((suffix(a) != "") & (suffix(b) != "") & (suffix(a) != suffix(b)), 3).otherwise(0)).otherwise(0)
     if communities is not None:
         for end in ("src", "dst"):
             e = e.join(communities.select(F.col("id").alias(end), F.col("community").alias(f"{end}_community")), end, "left")
         score = score + F.when(F.col("src_community") != F.col("dst_community"), 3).otherwise(0)
-    best = e.withColumn("score", score).where("score > 0").groupBy("src", "dst").agg(F.min(F.struct((-F.col("score")).alias("rank"), "type", "confidence", "src_label", "dst_label")).alias("best"))
-    out = best.select("src", "dst", "best.src_label", "best.dst_label", "best.type", (-F.col("best.rank")).cast("int").alias("score"), "best.confidence")
-    return out.orderBy(F.desc("score"), "src", "dst").limit(top)
+    best = e.select("src", "dst", "type", score.cast("int").alias("score"), "confidence").where("score > 0").orderBy(F.desc("score"), "src", "dst").limit(top)
+    for end in ("src", "dst"):  # labels for ``top`` rows only
+        best = nodes.select(F.col("id").alias(end), label(F.col("id"), F.col("sig")).alias(f"{end}_label")).join(F.broadcast(best), end)
+    return best.select("src", "dst", "src_label", "dst_label", "type", "score", "confidence").orderBy(F.desc("score"), "src", "dst")
 
 
 def language_breakdown(nodes: DataFrame) -> DataFrame:

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.tables import ranked, settled
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Parts of each trigram's list.
+SALTS = 8
 # Weights of the components of a candidate's score.
 COMPONENTS = {"exact": 0.35, "identifier": 0.25, "overlap": 0.20, "lexical": 0.10, "path": 0.05, "kind": 0.05}
 
 
-def postings(docs: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
-    """(token, doc, tf, n): per token and document the weighted count over ``columns`` and the plain count."""
-    cells = F.array(*[F.struct(words(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("tokens"), F.lit(float(w)).alias("weight")) for c, w in columns.items()])
+def postings(docs: DataFrame, key: str, columns: dict[str, float], terms: list[str] | None = None) -> DataFrame:
+    """(token, doc, tf, n): per token and document the weighted count over ``columns`` and the plain count; of some ``terms``
+    alone where these are given, so that no other posting is made."""
+    own = lambda tokens: tokens if terms is None else F.filter(tokens, lambda t: t.isin(terms))
+    cells = F.array(*[F.struct(own(words(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias("tokens"), F.lit(float(w)).alias("weight")) for c, w in columns.items()])
     t = docs.select(F.col(key).alias("doc"), F.explode(cells).alias("cell")).select("doc", "cell.weight", F.explode("cell.tokens").alias("token"))
     return t.groupBy("token", "doc").agg(F.sum("weight").alias("tf"), F.count("*").alias("n"))
 
@@ -24,7 +29,7 @@ def bm25(docs: DataFrame, key: str, columns: dict[str, float], terms: list[str],
     cells = F.concat(*[words(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])
     sizes = docs.select(F.col(key).alias("doc"), F.size(cells).alias("length"))
     stats = sizes.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
-    hits = postings(docs, key, columns).where(F.col("token").isin(sorted(set(terms))))
+    hits = postings(docs, key, columns, sorted(set(terms)))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     # as many rows as terms, and one row
     scored = hits.join(F.broadcast(df), "token").join(sizes, "doc").join(F.broadcast(stats))
@@ -69,12 +74,13 @@ def linear(parts: dict[str, Column]) -> Column:
 
 def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of lists (doc, score): sum of weight / (k + rank), ranks by falling score, then doc."""
-    out = None
+    out, made = None, []
     for i, one in enumerate(lists):
-        rank = F.row_number().over(Window.orderBy(F.desc("score"), "doc"))
-        part = one.withColumn("part", (weights[i] if weights else 1.0) / (k + rank)).select("doc", "part")
+        placed, path = ranked(one.select("doc", "score"), F.desc("score"), "doc")
+        made.append(path)
+        part = placed.select("doc", ((weights[i] if weights else 1.0) / (k + F.col("rank"))).alias("part"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc").agg(F.round(F.sum("part"), 9).alias("score"))
+    return settled(out.groupBy("doc").agg(F.round(F.sum("part"), 9).alias("score")), "fused", made)
 
 
 def trigrams(text: Column) -> Column:
@@ -89,7 +95,11 @@ def trigram_jaccard(a: DataFrame, b: DataFrame, least: float = 0.05) -> DataFram
     joins the sides, and counts of shared trigrams decide. Meant for short texts."""
     grams = lambda df, key: df.select(key, F.explode(trigrams(F.col("text"))).alias("gram"))
     ga, gb = grams(a, "a_id"), grams(b, "b_id")
-    shared = ga.join(gb, "gram").groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
+    # a common trigram's list is dealt to SALTS tasks: b by its id, a to all of them
+    salts = F.array(*[F.lit(i) for i in range(SALTS)])
+    left = ga.withColumn("salt", F.explode(salts))
+    right = gb.withColumn("salt", F.pmod(F.xxhash64("b_id"), F.lit(SALTS)).cast("int"))
+    shared = left.join(right, ["gram", "salt"]).groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
     size = lambda g, key, name: g.groupBy(key).agg(F.count("*").alias(name))
     j = shared.join(size(ga, "a_id", "na"), "a_id").join(size(gb, "b_id", "nb"), "b_id")
     return j.select("a_id", "b_id", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard")).where(F.col("jaccard") > least)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.confidence import ACROSS, FOLLOW, edge_prior, graph_score, noisy_or, path_confidence
-from ..sources.tables import written
+from ..functions.confidence import ACROSS, FOLLOW, edge_prior, graph_score, noisy_or_of_counts, path_confidence
+from ..sources.tables import FEW, remove, settled, small, written
 from .lenses import excluded, language
 
 DEGREE_LIMIT, FANOUT, PATHS, DEPTH, THRESHOLD = 40, 24, 3, 5, 0.20
@@ -33,36 +33,56 @@ def blast_radius(
     Guards, each off with None: nodes with ``degree_limit`` edges or more aren't left again, a node follows its first
     ``fanout`` edges by type and peer, and only the first ``paths`` paths to a node go on. A missing target gives no rows.
     """
+    made: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        table, path = written(df, name)
+        made.append(path)
+        return table, table.count()
+
     adjacency = _adjacency(edges)
     files = nodes.select(F.col("id").alias("peer"), F.col("kind").alias("peer_kind"), F.col("file").alias("peer_file"))
     # :: and . before these names mark constructors, which calls of their class reach
-    frontier = nodes.where(F.col("id") == target).select(F.col("id").alias("node"), F.lit("").alias("path"), F.array("id").alias("seen"), F.lit(1.0).alias("product"))
-    recorded, pruned = None, None
+    start = nodes.where(F.col("id") == target).select(F.col("id").alias("node"), F.lit("").alias("path"), F.array("id").alias("seen"), F.lit(1.0).alias("product"))
+    frontier, n_paths = keep(start, "frontier")
+    recorded, pruned, order = None, None, ("place", "peer", "flow", "type", "confidence")
     for depth in range(max_depth):
-        by_path = Window.partitionBy("path")
-        own = frontier.join(adjacency, "node")
+        if recorded is not None and not n_paths:
+            break
+        own = adjacency.join(small(frontier, n_paths), "node")
         parent = F.regexp_replace("node", r"(\.__init__|::constructor|\.constructor)$", "")
-        built = frontier.withColumn("parent", parent).where("parent <> node").join(adjacency.where("flow = 'upstream' and type = 'CALLS'").withColumnRenamed("node", "parent"), "parent").drop("parent")
-        cand = own.withColumn("degree", F.count("*").over(by_path)).unionByName(built.withColumn("degree", F.lit(0)))
+        classes = frontier.withColumn("parent", parent).where("parent <> node")
+        built = adjacency.where("flow = 'upstream' and type = 'CALLS'").withColumnRenamed("node", "parent").join(small(classes, n_paths), "parent").drop("parent")
+        cand = own.unionByName(built.select(own.columns))
         if depth and degree_limit is not None:
-            cand = cand.withColumn("degree", F.max("degree").over(by_path)).where(F.col("degree") < degree_limit)
+            # degrees are counted before any path's edges are brought together
+            hubs = own.groupBy("path").agg(F.count("*").alias("degree")).where(F.col("degree") >= degree_limit).select("path")
+            cand = cand.join(small(hubs, n_paths), "path", "left_anti")
         if direction != "both":
             cand = cand.where(F.col("flow") == direction)
-        cand = cand.withColumn("n", F.row_number().over(by_path.orderBy("place", "peer", "flow", "type", "confidence")))
+        if not depth and fanout is not None:
+            cand = cand.orderBy(*order).limit(fanout)  # the target alone: its first edges without a window over all of them
+        if fanout is None and paths is None:
+            cand = cand.withColumn("n", F.monotonically_increasing_id())  # the order of paths doesn't matter
+        else:
+            cand = cand.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(*order)))
         if fanout is not None:
             cand = cand.where(F.col("n") <= fanout)
         a, b = language(F.col("node")), language(F.col("peer"))
         cand = cand.where(~F.array_contains("seen", F.col("peer"))).where(F.col("type").isin(ACROSS) | (a == "") | (b == "") | (a == b))
         if depth:
             cand = cand.where(b != "")
-        cand = cand.join(files, "peer", "left")
+        if fanout is not None and n_paths * fanout <= FEW:
+            cand = files.join(F.broadcast(cand), "peer", "right")  # ``fanout`` rows a path at most
+        else:
+            cand = cand.join(files, "peer", "left")
         level = cand.select(
-            F.col("peer").alias("node"), F.concat("path", F.lpad(F.col("n").cast("string"), 7, "0")).alias("path"), F.concat("seen", F.array("peer")).alias("seen"),
+            F.col("peer").alias("node"), F.concat("path", F.lpad(F.col("n").cast("string"), 12, "0")).alias("path"), F.concat("seen", F.array("peer")).alias("seen"),
             (F.col("product") * F.col("prior")).alias("product"), F.lit(depth + 1).alias("hops"), "peer_kind", "peer_file", "prior",
             (~F.lower("confidence").isin("external", "unresolved") & F.coalesce(F.col("peer_kind") != "external_symbol", F.lit(True))).alias("goes_on"),
         )
         level = level.withColumn("out", excluded(F.col("node"), F.coalesce("peer_file", F.lit("")), rules) if rules else F.lit(False))
-        level, _ = written(level, "level")
+        level, _ = keep(level, "level")
         gone = level.where("out").select("node", "hops", "prior")
         pruned = gone if pruned is None else pruned.unionByName(gone)
         level = level.where("not out")
@@ -75,16 +95,18 @@ def blast_radius(
                 before = recorded_before.groupBy("node").agg(F.count("*").alias("before"))
                 on = on.join(before, "node", "left").withColumn("order", F.col("order") + F.coalesce("before", F.lit(0)))
             on = on.where(F.col("order") <= paths)
-        frontier = on.where("goes_on").select("node", "path", "seen", "product")
-        if frontier.isEmpty():
-            break
+        if depth + 1 < max_depth:
+            frontier, n_paths = keep(on.where("goes_on").select("node", "path", "seen", "product"), "frontier")
     each = recorded.withColumn("p", path_confidence(F.col("product"), F.col("hops")))
-    found = each.groupBy(F.col("node").alias("id")).agg(F.min("hops").alias("distance"), F.count("*").alias("n_paths"), noisy_or(F.collect_list("p")).alias("confidence"))
+    by_value = each.groupBy(F.col("node").alias("id"), "p").agg(F.min("hops").alias("hops"), F.count("*").alias("n"))
+    found = by_value.groupBy("id").agg(F.min("hops").alias("distance"), F.sum("n").alias("n_paths"), noisy_or_of_counts(F.collect_list(F.struct("p", "n"))).alias("confidence"))
     category = F.when(F.col("confidence") < threshold, "excluded").when((F.col("distance") == 1) & (F.col("confidence") >= 0.5), "direct").otherwise("indirect")
     found = found.withColumn("score", graph_score(F.col("confidence"), F.col("distance"))).withColumn("category", category)
     by_rule = pruned.groupBy(F.col("node").alias("id")).agg(F.min("hops").alias("distance"), F.count("*").alias("n_paths"), F.max("prior").alias("confidence"))
-    found = found.unionByName(by_rule.withColumn("score", F.col("confidence")).withColumn("category", F.lit("rule")))
-    return found.join(nodes.select("id", "kind", "file"), "id", "left").select("id", "kind", "file", "distance", "n_paths", "confidence", "score", "category")
+    found, n_found = keep(found.unionByName(by_rule.withColumn("score", F.col("confidence")).withColumn("category", F.lit("rule"))), "found")
+    cards = nodes.select("id", "kind", "file")
+    out = cards.join(F.broadcast(found), "id", "right") if n_found <= FEW else found.join(cards, "id", "left")
+    return settled(out.select("id", "kind", "file", "distance", "n_paths", "confidence", "score", "category"), "blast", made)
 
 
 def blast_summary(found: DataFrame) -> DataFrame:
@@ -99,16 +121,21 @@ def blast_summary(found: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, upstream: bool = False) -> DataFrame:
     """(id, depth) of nodes reached from seeds (id) along edges, or against them; seeds have depth 0."""
+    made = []
     step = edges.select(F.col("dst" if upstream else "src").alias("id"), F.col("src" if upstream else "dst").alias("peer"))
-    known, _ = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "reach")
-    frontier = known
+    known, path = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "reach")
+    made.append(path)
+    frontier, n, total = known, known.count(), known.count()
     for depth in range(1, max_depth + 1):
-        new = frontier.select("id").join(step, "id").select(F.col("peer").alias("id")).distinct().join(known.select("id"), "id", "left_anti")
-        frontier, _ = written(new.withColumn("depth", F.lit(depth)), "reach")
-        if frontier.isEmpty():
+        new = step.join(small(frontier.select("id"), n), "id").select(F.col("peer").alias("id")).distinct().join(small(known.select("id"), total), "id", "left_anti")
+        frontier, path = written(new.withColumn("depth", F.lit(depth)), "reach")
+        made.append(path)
+        n = frontier.count()
+        total += n
+        if not n:
             break
         known = known.unionByName(frontier)
-    return known
+    return settled(known, "reached", made)
 
 
 def impact(nodes: DataFrame, edges: DataFrame, target: str, max_depth: int = 5) -> DataFrame:
@@ -120,13 +147,21 @@ def impact(nodes: DataFrame, edges: DataFrame, target: str, max_depth: int = 5)
 def impact_edges(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     """(src, dst, type, depth): distinct edges against whose direction each level goes, so an edge on a cycle has a row
     for each depth."""
-    step = edges.select("src", "dst", "type").distinct()
-    out, frontier = None, seeds.select(F.col("id").alias("dst")).distinct()
+    made, out = [], None
+    frontier, path = written(seeds.select(F.col("id").alias("dst")).distinct(), "frontier")
+    made.append(path)
     for depth in range(1, max_depth + 1):
-        level, _ = written(step.join(frontier, "dst").select("src", "dst", "type", F.lit(depth).alias("depth")), "impact")
+        n = frontier.count()
+        if out is not None and not n:
+            break
+        # repeated edges fall together after the join, so the edges themselves aren't shuffled for a small frontier
+        level, path = written(edges.select("src", "dst", "type").join(small(frontier, n), "dst").distinct().select("src", "dst", "type", F.lit(depth).alias("depth")), "impact")
+        made.append(path)
         out = level if out is None else out.unionByName(level)
-        frontier = level.select(F.col("src").alias("dst")).distinct()
-    return out
+        if depth < max_depth:
+            frontier, path = written(level.select(F.col("src").alias("dst")).distinct(), "frontier")
+            made.append(path)
+    return settled(out, "impact-edges", made)
 
 
 def reach_by_depth(edges: DataFrame, seeds: DataFrame, gold: DataFrame, max_depth: int = 4) -> DataFrame:
@@ -148,12 +183,14 @@ def cycles(links: DataFrame, longest: int = 6) -> DataFrame:
     """(length, cycle): elementary cycles of distinct links (src, dst) of 2 to ``longest`` nodes, each once, from its
     least node and closed with it. Paths only grow over nodes above their first, and only where the first is reachable
     at all: nodes without a way in or out are peeled off first."""
-    e, _ = written(links.where("src <> dst").select("src", "dst").distinct(), "links")
+    e, path = written(links.where("src <> dst").select("src", "dst").distinct(), "links")
+    made = [path]
     n = e.count()
     for _ in range(longest):
         both = e.select("src").intersect(e.select("dst")).toDF("__id")
-        less, _ = written(e.join(both, F.expr("src = __id"), "left_semi").join(both, F.expr("dst = __id"), "left_semi"), "links")
+        less, path = written(e.join(both, F.expr("src = __id"), "left_semi").join(both, F.expr("dst = __id"), "left_semi"), "links")
         before, n, e = n, less.count(), less
+        made.append(path)
         if n == before:
             break
     paths = e.where("dst > src").select(F.array("src", "dst").alias("path"))
@@ -164,21 +201,26 @@ def cycles(links: DataFrame, longest: int = 6) -> DataFrame:
         out = closed if out is None else out.unionByName(closed)
         if length < longest:
             more = paths.join(e, last == F.col("src")).where((F.col("dst") > first) & ~F.array_contains("path", F.col("dst")))
-            paths, _ = written(more.select(F.concat("path", F.array("dst")).alias("path")), "paths")
-    return out
+            paths, path = written(more.select(F.concat("path", F.array("dst")).alias("path")), "paths")
+            made.append(path)
+    return settled(out, "cycles", made)
 
 
 def label_propagation(links: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, community) of undirected, distinct links (src, dst): each node takes the commonest label around it, its own
     counting once, the least of equals; all at once, for a number of rounds."""
     both = links.where("src <> dst").select("src", "dst").union(links.where("src <> dst").select("dst", "src")).distinct()
-    both, _ = written(both, "links")
+    both, links_path = written(both, "links")
+    last = None
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
     for _ in range(rounds):
         votes = both.join(labels, F.col("dst") == F.col("id")).select(F.col("src").alias("id"), "community").unionByName(labels)
         n = votes.groupBy("id", "community").agg(F.count("*").alias("n"))
-        labels, _ = written(n.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("best")).select("id", F.col("best.community").alias("community")), "labels")
-    return labels
+        labels, path = written(n.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("best")).select("id", F.col("best.community").alias("community")), "labels")
+        if last:
+            remove(links.sparkSession, last)
+        last = path
+    return settled(labels, "communities", [links_path, *([last] if last else [])])
 
 
 def cohesion(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -90,12 +90,23 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 def scan(spark: SparkSession, root: str, rules: list[str] | None = None, batch_bytes: int = 16 << 20) -> DataFrame:
     """The files below a folder, by paths relative to it.
 
-    Names are listed once and filtered before anything is read. Spark's own file sources pass over names that begin with
-    a dot or an underscore, which a source tree has many of, so tasks read the files themselves.
+    The driver lists the top folder, tasks the folders in it; names are filtered before anything is read. Spark's own file
+    sources pass over names that begin with a dot or an underscore, which a source tree has many of, so tasks read the
+    files themselves.
     """
     files, top = opened(root.rstrip("/"))
-    found = [i.path for i in files.get_file_info(fs.FileSelector(top, recursive=True)) if i.type == fs.FileType.File]
-    paths = spark.createDataFrame([(p[len(top) :].lstrip("/"),) for p in sorted(found)], "path string").where(~ignored(F.col("path"), rules))
+    first = [(i.path[len(top) :].lstrip("/"), i.type == fs.FileType.Directory) for i in files.get_file_info(fs.FileSelector(top))]
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = opened(root.rstrip("/"))
+        for batch in batches:
+            for name, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                inside = own.get_file_info(fs.FileSelector(f"{at}/{name}", recursive=True)) if folder else []
+                names = [i.path[len(at) :].lstrip("/") for i in inside if i.type == fs.FileType.File] if folder else [name]
+                yield pa.record_batch([pa.array(names, pa.string())], ["path"])
+
+    listed = spark.createDataFrame(sorted(first), "path string, folder boolean").repartition("path")
+    paths = listed.mapInArrow(below, "path string").where(~ignored(F.col("path"), rules)).repartition("path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at = opened(root.rstrip("/"))

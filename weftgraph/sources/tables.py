@@ -5,18 +5,21 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session names none, as in tests, a folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    """The folder that ``spark.checkpoint.dir`` names, or that ``SparkContext.setCheckpointDir`` was given. On one machine,
+    where neither is, a folder beside the session's warehouse."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "/tmp/checkpoints"
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints"
     return found.rstrip("/")
 
 
@@ -46,6 +49,35 @@ def _remove_all() -> None:
         pass
 
 
+def settled(df: DataFrame, name: str, paths: list[str]) -> DataFrame:
+    """``df`` as a written table, after which the tables that it was made from are removed."""
+    out, _ = written(df, name)
+    remove(df.sparkSession, *paths)
+    return out
+
+
+#: Rows up to which a table that was counted is broadcast, where a row is at most a few hundred bytes.
+FEW = 50_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows are few; else the join shuffles it."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
+def ranked(df: DataFrame, *order) -> tuple[DataFrame, str]:
+    """``df`` with its 1-based ``rank`` in an order over all rows, without one task that sorts them: rows are dealt by
+    ranges of the order and sorted within, and each range's rank begins after the rows of those before it."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    table, path = written(dealt, "ranked")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = table.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))  # a row a partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    out = table.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn("rank", F.col("__before") + place + 1)
+    return out.drop("__part", "__before", "__at"), path
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at files that outlive executors."""
     spark = df.sparkSession
