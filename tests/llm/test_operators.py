@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import chat, lm, media, mixing, packing, pii, quality, queries, simhash, textvec, toxicity, training
 
@@ -46,6 +47,11 @@ def test_media_ranges_and_retries(spark, docs, tmp_path):
     data = bytearray((tmp_path / "a" / name).read_bytes())
     data[80] ^= 255  # inside the first member
     (tmp_path / "a" / name).write_bytes(data)
+    with pytest.raises(Exception, match="checksum"):
+        media.described(got, strict=True).count()
+    spark.read.parquet(manifest).withColumn("members", F.col("members") + 1).write.parquet(str(tmp_path / "m2"))
+    with pytest.raises(Exception, match="manifest"):
+        media.load(spark, folder, str(tmp_path / "m2")).count()
     bad = got.where("error is not null").collect()
     assert [(r.archive, r.offset, r.tries) for r in bad] == [(name, 0, 3)] and got.count() == docs.count()
 
@@ -85,6 +91,30 @@ def test_quality_counts(hard, docs, labels, empty):
     assert quality.counts("word " * 60_000)[4] == 60_000
 
 
+def test_quality_scores_against_plain_means(spark):
+    """The probability of a given model from plain n-grams of words and characters."""
+    rng = np.random.default_rng(2)
+    model = quality.Model(rng.normal(0, 3, quality.BUCKETS).astype(np.float32), 0.3, 1.4, -0.2)
+    texts = ["", "a", "ab", "two words", "Größe 漢字漢 ü", "x" * 400, "One two. One two!\nThree é", "é"]
+    m32 = 0xFFFFFFFF
+
+    def plain(t):
+        c = [ord(x) for x in t]
+        words = t.encode().split()
+        h = [int(textvec.Words(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hashes()[0]) for w in words]
+        pair = [int(textvec.mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) for a, b in zip(h, h[1:], strict=False)]
+        three = [(x + y * 0x01000193 + z * 0xC2B2AE35) & m32 for x, y, z in zip(c, c[1:], c[2:], strict=False)]
+        four = [(r + z * 0x27D4EB2F) & m32 for r, z in zip(three, c[3:], strict=False)]
+        kinds = [[x >> 49 for x in h], [x >> 49 for x in pair], [(x * 0x9E3779B1 & m32) >> 17 for x in three], [(x * 0x85EBCA6B & m32) >> 17 for x in four]]
+        z = model.bias + sum(sum(float(model.weights[g + (k << quality.BITS)]) for g in own) / max(len(own), 1) for k, own in enumerate(kinds))
+        return 1 / (1 + math.exp(-(model.slope * z + model.shift)))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.judge(df, model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].low_quality == pytest.approx(plain(t), abs=1e-6) and got[i].kept == (not got[i].base_failed and got[i].low_quality < quality.REJECT)
+
+
 def test_quality_learns(spark):
     good = "the river ran over stones and under the old bridge near town"
     bad = "$$$ win |cash| &&& now ### click *** free %%% offer <> deal"
@@ -276,6 +306,12 @@ def test_redact(spark, hard):
     got = {r.doc_id: r.text for r in pii.redact(hard).collect()}
     assert got[7] == "mail [EMAIL] and [IP], card [CARD], call [PHONE] now\n\n" and got[2] is None and got[8] == dict(rows_of(hard))[8]
     assert pii.redact(hard).columns == hard.columns
+    # words after a match count as well, others lower its score, a column of that name is no obstacle
+    around = ["123-45-6789 is my social security number", "order 123-45-6789, social security", "(415) 555-2671 (phone)", "call (415) 555-2671", "serial (415) 555-2671", "mail a@b.c example"]
+    f = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(enumerate(around)), "doc_id long, text string")).collect()}
+    assert [bool(f[i].spans) for i in range(6)] == [True, False, True, True, False, True] and f[5].scores == "0.90" and f[2].scores == "0.70"
+    clash = pii.find(spark.createDataFrame([(1, "a@b.c", "x")], "doc_id long, text string, Spans string"))
+    assert clash.columns == ["doc_id", "text", "Spans0", "spans"] and clash.first()["Spans0"] == "x"
     s = "ids: 123-45-6789 none; my social security number is 123-45-6789 ok"
     one = spark.createDataFrame([(1, s)], "doc_id long, text string")
     assert pii.report(one).first().spans == f"ssn:{s.rindex('123-')}:{s.rindex('123-') + 11}"
@@ -310,6 +346,33 @@ def test_toxicity(spark, hard, empty, docs):
     assert all(r.score < 0.5 for r in toxicity.score(d, none).collect())
 
 
+def test_noisy_or_against_plain_sums(spark):
+    """Scores of whole texts with given weights, sentence by sentence and word by word."""
+    rng = np.random.default_rng(1)
+    weights, bias = rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32), -2.0
+    words = ["Größe", "gröber", "straßenbahn", "a", "ab12", "idiot", "漢字漢字漢字漢", "ÉTÉS", "x" * 9]
+    texts = ["", " \n", "..!?"] + [" ".join(rng.choice(words, rng.integers(1, 12))) + rng.choice([".", "!\n", "? ", ", "]) + " ".join(rng.choice(words, 3)) for _ in range(60)]
+
+    def hashed(word, n=None):
+        w = textvec.Words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]), textvec.ALNUM)
+        h = w.hashes() if n is None else w.prefix_hashes(n)
+        return int(h[0] >> np.uint64(64 - 18))
+
+    want = []
+    for t in texts:
+        alive = 1.0
+        parts = [re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", s) for s in re.split(r"[\n!.?]", t)]
+        for s in [p for p in parts if p] or [[]]:
+            z = bias + sum(float(weights[hashed(w)]) + sum(float(weights[hashed(w, n) if len(w) > n else 0]) for n in toxicity.BEGINNINGS) for w in s)
+            alive *= 1 - 1 / (1 + math.exp(-z))
+        want.append(1 - alive)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(df, (weights, bias)).collect()}
+    assert all(got[i] == pytest.approx(w, abs=1e-6) for i, w in enumerate(want))
+    # beginnings are cut at characters: two words with the same first four characters share that feature
+    assert hashed("größe", 4) == hashed("größer", 4) != hashed("grösse", 4) and hashed("漢字漢字漢", 4) == hashed("漢字漢字字", 4)
+
+
 # 7 chat
 
 

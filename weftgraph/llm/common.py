@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import new_path, remove, shared_dir, written  # noqa: F401  used through this module
+from ..sources.tables import new_path, remove, settled, shared_dir, written  # noqa: F401  used through this module
 
 #: Rows of one Arrow batch that goes to a Python worker; with texts of 100 kB each a batch stays under 30 MB.
 ROWS_PER_BATCH = 256

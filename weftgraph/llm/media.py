@@ -144,12 +144,14 @@ def store(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> D
 
 
 class ByteRange(InputPartition):
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+    """The members of an archive that begin in a range of its bytes; members: how many the whole archive has."""
+
+    def __init__(self, archive: str, start: int, end: int, members: int):
+        self.archive, self.start, self.end, self.members = archive, start, end, members
 
 
 class ArchiveReader(DataSourceReader):
-    """Options: folder, manifest (a Parquet table of archive and size), range_bytes, batch_bytes, tries."""
+    """Options: folder, manifest (a Parquet table of archive, size and members), range_bytes, batch_bytes, tries."""
 
     def __init__(self, options: dict):
         low = {k.lower(): v for k, v in options.items()}
@@ -158,10 +160,10 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         files, at = opened(self.manifest)
-        table = pyarrow.dataset.dataset(at, filesystem=files, format="parquet", schema=pa.schema([("archive", pa.string()), ("size", pa.int64())])).to_table()
-        found = sorted(zip(table.column("archive").to_pylist(), table.column("size").to_pylist(), strict=True))
-        ranges = [ByteRange(a, i, min(i + self.range_bytes, n)) for a, n in found for i in range(0, n, self.range_bytes)]
-        return ranges or [ByteRange("", 0, 0)]
+        table = pyarrow.dataset.dataset(at, filesystem=files, format="parquet", schema=pa.schema([("archive", pa.string()), ("size", pa.int64()), ("members", pa.int64())])).to_table()
+        found = sorted(zip(*(table.column(c).to_pylist() for c in ("archive", "size", "members")), strict=True))
+        ranges = [ByteRange(a, i, min(i + self.range_bytes, n), m) for a, n, m in found for i in range(0, n, self.range_bytes)]
+        return ranges or [ByteRange("", 0, 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         files, at = opened(self.folder)
@@ -170,7 +172,10 @@ class ArchiveReader(DataSourceReader):
         batch = lambda: pa.record_batch([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], list(names))
         if partition.archive:
             with files.open_input_file(path) as f:
-                members = [m for m in zipfile.ZipFile(f).infolist() if partition.start <= m.header_offset < partition.end]
+                listed = zipfile.ZipFile(f).infolist()
+            if len(listed) != partition.members:
+                raise ValueError(f"{partition.archive} has {len(listed)} members, its manifest says {partition.members}")
+            members = [m for m in listed if partition.start <= m.header_offset < partition.end]
             stream = None
             for m in members:
                 payload, error, tries = None, None, 0
@@ -221,8 +226,9 @@ def load(spark: SparkSession, folder: str, manifest: str, **options) -> DataFram
     return spark.read.format("weft_archive").options(folder=folder, manifest=manifest, **options).load()
 
 
-def described(members: DataFrame) -> DataFrame:
-    """Lengths, digests and the feature of each member, from its stored bytes; nulls and the error where it has none."""
+def described(members: DataFrame, strict: bool = False) -> DataFrame:
+    """Lengths, digests and the feature of each member, from its stored bytes; nulls and the error where it has none, or,
+    if ``strict``, a failed task, which Spark tries again before the query fails."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
@@ -232,6 +238,8 @@ def described(members: DataFrame) -> DataFrame:
             for name, error, media in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
                 own = name.split("_")[1].removesuffix(".png")
                 doc_id, media = int(own) if own else None, media.as_py()
+                if media is None and strict:
+                    raise ValueError(f"{name}: {error}")
                 if media is None:
                     rows.append((doc_id, *[None] * 7, error))
                     continue
@@ -247,8 +255,9 @@ def media(docs: DataFrame) -> DataFrame:
     """Stores the texts of ``docs`` (doc_id, text), reads them back and describes them, a row for each row.
 
     A null text is empty and has one unit of zeros. Repeated and null ids are fine, as members are told apart by
-    number. Equal texts have equal values. Other columns are not looked at; an empty table stays empty.
+    number. Equal texts have equal values. Other columns are not looked at; an empty table stays empty. A member that
+    can't be read, or an archive with another number of members than were stored, fails the query.
     """
     folder = new_path(docs.sparkSession, "archives")
     _, manifest = written(store(docs, folder), "manifest")
-    return described(load(docs.sparkSession, folder, manifest))
+    return described(load(docs.sparkSession, folder, manifest), strict=True)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, remove, written
+from .common import pick, remove, settled, written
 
 WORDS = r"[^\x20\x09-\x0D]++"
 #: Newton steps at most: a multiplier falls by about 1 a step until near its solution, so this reaches rates of e**-190.
@@ -166,9 +166,9 @@ def plan(sizes: DataFrame, also: dict[str, dict[str | None, float]] | None = Non
     also = also or {}
     on = ["source", *also]
     keyed = sizes.withColumn("key", _key("doc_id"))
-    buckets, _ = written(keyed.groupBy(*on, F.substring("key", 1, 4).alias("bucket")).agg(F.sum("size").alias("size")), "buckets")
-    cells, _ = written(buckets.groupBy(*on).agg(F.sum("size").alias("size")), "cells")
-    by_source, _ = written(targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), **options), "targets")
+    buckets, buckets_path = written(keyed.groupBy(*on, F.substring("key", 1, 4).alias("bucket")).agg(F.sum("size").alias("size")), "buckets")
+    cells, cells_path = written(buckets.groupBy(*on).agg(F.sum("size").alias("size")), "cells")
+    by_source, targets_path = written(targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), **options), "targets")
     goals = {"source": by_source.select(F.col("source").alias("value"), "target")}
     if also:
         words = by_source.agg(F.sum("target")).first()[0] or 0.0
@@ -178,7 +178,7 @@ def plan(sizes: DataFrame, also: dict[str, dict[str | None, float]] | None = Non
     rates = _meet(solve(cells, goals), by_source.select("source", "source_size", "target"), ["source"])
     own = F.col("size") * F.col("rate") if also else F.col("target")  # a cell's words; of a whole source they are its target
     rates = rates.withColumn("copies", F.floor(own / F.greatest("size", F.lit(1)) + 1e-9)).withColumn("extra", own - F.col("copies") * F.col("size")).drop("size")
-    rates, _ = written(rates, "rates")
+    rates, rates_path = written(rates, "rates")
     before = lambda *order: Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     # words before a bucket: those of the 256 groups of buckets before its own, and those before it in its group
     group = F.substring("bucket", 1, 2).alias("group")
@@ -197,14 +197,14 @@ def plan(sizes: DataFrame, also: dict[str, dict[str | None, float]] | None = Non
     last = near.where(F.col("until") <= F.col("extra")).groupBy(*on).agg(F.max("key").alias("key"), F.max("until").alias("until"))
     # 4 digits of a bucket come before all its keys
     cut = _meet(at, last, on, "left").select(*on, F.coalesce("key", "bucket").alias("cut"), (F.col("extra") - F.coalesce("until", "before")).alias("gap"))
-    cut, _ = written(cut, "cuts")
+    cut, cuts_path = written(cut, "cuts")
     rest = _meet(keyed, cut, on, few=few).where(F.col("key") > F.col("cut"))
     best = rest.groupBy(*on).agg(F.min_by("key", F.struct(F.abs(F.col("size") - F.col("gap")), "key")).alias("fill"), F.first("gap").alias("gap"))
     best = _meet(keyed, best, on, few=few).where(F.col("key") == F.col("fill")).groupBy(*on).agg(F.first("fill").alias("fill"), F.sum("size").alias("size"), F.first("gap").alias("gap"))
     best = best.where(F.abs(F.col("size") - F.col("gap")) < F.col("gap")).select(*on, "fill")
     out = _meet(_meet(rates, cut, on, "left"), best, on, "left")
     out = out.select(*on, "source_size", "target", "rate", "copies", F.coalesce("cut", F.lit("")).alias("cut"), F.coalesce("fill", F.lit("")).alias("fill"))
-    return written(out, "mixture")[0]
+    return settled(out, "mixture", [buckets_path, cells_path, targets_path, rates_path, cuts_path])
 
 
 def mix(docs: DataFrame, also: dict[str, dict[str | None, float]] | None = None, **options) -> DataFrame:
@@ -223,8 +223,9 @@ def mix(docs: DataFrame, also: dict[str, dict[str | None, float]] | None = None,
     place = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     col = {n: F.col(f"c{i}") for i, n in enumerate(docs.columns)}
     own = pick(docs, "doc_id", *on, "text").select("doc_id", "source", *[F.col(c).cast("string").alias(c) for c in also], size_of("text").alias("size"))
-    sizes, _ = written(own, "sizes")
+    sizes, sizes_path = written(own, "sizes")
     cells = plan(sizes, also, **options)
+    remove(docs.sparkSession, sizes_path)
     few = cells.count() <= BROADCAST_ROWS
     added = ("size", "source_size", "target", "copies")
     taken = cells.toDF(*[f"__{c}" for c in cells.columns])

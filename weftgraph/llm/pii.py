@@ -5,7 +5,7 @@ addresses), and words near a span adjust its score. Patterns are possessive and
 starts, so the time is linear in the text however long its runs are, and matching needs no deep stack.
 
 A span's place comes from the text between matches: ``split`` gives the gaps, ``regexp_extract_all`` the matches, and
-running sums of their lengths the positions, all in code points.
+running sums of their lengths the positions, all in code points. The same gaps hold the words around a match.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 @dataclass(frozen=True)
 class Kind:
     """A kind of span. hint: a text without this pattern has none; check: confirms a match; score: of a confirmed match,
-    raised by ``lift`` where a word of ``near`` stands within ``AROUND`` characters before it; base kinds are kept at
-    any score, others from ``KEEP`` on."""
+    raised by ``lift`` where a word of ``near`` stands within ``AROUND`` characters before it, or after it in its
+    clause, and lowered by as much where a word of ``against`` does; base kinds are kept at any score, others from ``KEEP``
+    on."""
 
     name: str
     pattern: str
@@ -34,6 +35,7 @@ class Kind:
     near: str
     lift: float = 0.3
     base: bool = True
+    against: str = "example|sample|dummy|order|invoice|serial|version|isbn|sku"
 
 
 AROUND = 40
@@ -99,8 +101,9 @@ def _spans(kind: Kind, text: Column, gaps: Column, found: Column) -> Column:
         m = F.get(found, i)
         start = acc["at"] + F.length(F.get(gaps, i))
         end = start + F.length(m)
-        before = F.right(F.get(gaps, i), F.lit(AROUND))
-        score = F.when(F.lower(before).rlike(rf"\b(?:{kind.near})\w*"), F.least(F.lit(kind.score + kind.lift), F.lit(1.0))).otherwise(F.lit(kind.score))
+        around = F.lower(F.concat(F.right(F.get(gaps, i), F.lit(AROUND)), F.lit(" "), F.regexp_extract(F.left(F.get(gaps, i + 1), F.lit(AROUND)), r"^[^.;!?\n]*", 0)))
+        says = lambda words: F.when(around.rlike(rf"\b(?:{words})"), kind.lift).otherwise(0.0)
+        score = F.round(F.greatest(F.least(F.lit(kind.score) + says(kind.near) - says(kind.against), F.lit(1.0)), F.lit(0.0)), 2)
         sure = _confirmed(kind.check, m) if kind.base else _confirmed(kind.check, m) & (score >= KEEP)
         one = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
         return F.struct(end.alias("at"), F.when(sure, F.concat(acc["spans"], F.array(one))).otherwise(acc["spans"]).alias("spans"))
@@ -114,7 +117,8 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     ``kinds``, then start.
 
     ``docs`` has text; a null or empty text has no spans. Spans of one kind don't overlap, those of two kinds may.
-    Equal texts have equal spans. All other columns are kept; an empty table stays empty.
+    Equal texts have equal spans. All other columns are kept, one that is named spans (in any case) with a 0 after its
+    name; an empty table stays empty. Texts of any length are searched whole, in time that grows with their length.
     """
     names = docs.columns
     t = F.col("__t")
@@ -127,7 +131,7 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     for i, k in enumerate(kinds):
         df = df.withColumn(f"__g{i}", F.when(F.size(f"__m{i}") > 0, F.split(t, k.pattern, -1)))
     spans = [F.when(F.size(f"__m{i}") > 0, _spans(k, t, F.col(f"__g{i}"), F.col(f"__m{i}"))).otherwise(F.array().cast(_SPAN)) for i, k in enumerate(kinds)]
-    return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.concat(*spans).alias("spans"))
+    return df.select(*[F.col(f"c{i}").alias(n + "0" * (n.lower() == "spans")) for i, n in enumerate(names)], F.concat(*spans).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -159,8 +163,9 @@ def digest(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text) its counts and places of personal data; see the contract in queries.py."""
+    """Per row of ``docs`` (doc_id, text) its counts of base kinds, their digest, all spans as kind:start:end, and their
+    scores in the same order."""
     found = find(pick(docs, "doc_id", "text"))
     base = tuple(k.name for k in KINDS if k.base)
     many = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[many(k) for k in base], F.sha2(digest(F.col("spans"), base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[many(k) for k in base], F.sha2(digest(F.col("spans"), base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))

@@ -1,7 +1,7 @@
 """Quality rules: counted heuristics, and a calibrated model behind a fixed threshold.
 
 The model is a logistic regression on the shares of hashed n-grams of a text: words, pairs of words, and runs of three
-and of four bytes (case kept, so that shouting shows). It is trained on a bounded sample of labelled rows; Platt's
+and of four characters (case kept, so that shouting shows). It is trained on a bounded sample of labelled rows; Platt's
 method on rows that it has not seen turns its output into a probability. Texts are scored in Arrow batches: a score is
 the mean of the weights of the text's n-grams, without a feature vector for any text.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import pick, small_batches, text_column
-from .textvec import Words, data_of, mix, seg_sum, slices
+from .textvec import Words, characters, data_of, mix, seg_sum, slices
 from .training import labelled_sample, within
 
 #: Hash buckets for each kind of n-gram (a power of two); the weights take 4 bytes each.
@@ -72,11 +72,11 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.nda
     shift = np.uint64(64 - BITS)
     pair = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
     out = [(h >> shift, words.first[:-1], words.first[1:]), (pair >> shift, words.first[:-1], np.maximum(words.first[1:] - 1, words.first[:-1]))]
-    b = raw.astype(np.uint32)
-    run = b[:-2] | b[1:-1] << 8 | b[2:] << 16 if len(b) > 2 else np.zeros(0, np.uint32)
-    out.append((run * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS), offsets[:-1], np.maximum(offsets[1:] - 2, offsets[:-1])))
-    run = run[:-1] | b[3:] << 24 if len(b) > 3 else np.zeros(0, np.uint32)
-    out.append((run * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS), offsets[:-1], np.maximum(offsets[1:] - 3, offsets[:-1])))
+    c, at = characters(raw, offsets)
+    run = c[:-2] + c[1:-1] * np.uint32(0x01000193) + c[2:] * np.uint32(0xC2B2AE35) if len(c) > 2 else np.zeros(0, np.uint32)
+    out.append((run * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS), at[:-1], np.maximum(at[1:] - 2, at[:-1])))
+    run = run[:-1] + c[3:] * np.uint32(0x27D4EB2F) if len(c) > 3 else np.zeros(0, np.uint32)
+    out.append((run * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS), at[:-1], np.maximum(at[1:] - 3, at[:-1])))
     return [(g.astype(np.int64) + (k << BITS), np.minimum(a, len(g)), np.minimum(z, len(g))) for k, (g, a, z) in enumerate(out)]
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import components
-from .common import pick, shield, small_batches, text_column, written
+from .common import pick, remove, shield, small_batches, text_column, written
 
 SHINGLE = 3
 SEED = 42
@@ -222,12 +222,13 @@ def links(distinct: DataFrame, bits: int = BITS, k: int | None = None) -> DataFr
 def _classes(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, fp, text_hash) for each row; (fp, component, component_id) for each fingerprint; and of these the heavy ones."""
     table, _ = written(fingerprints(docs), "fingerprints")
-    classes, _ = written(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    classes, classes_path = written(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     nodes = components(links(classes.select("fp"), bits))
     of = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("component"))
-    of, _ = written(of, "members")
+    of, of_path = written(of, "members")
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
     named, _ = written(of.join(ids, "component").select("fp", "n", "component", "component_id"), "named")
+    remove(docs.sparkSession, classes_path, of_path)
     rows = named.agg(F.sum("n")).first()[0] or 0
     heavy = named.where(F.col("n") > max(HEAVY, rows // HEAVY_SHARE))
     return table, named.drop("n"), heavy.drop("n")

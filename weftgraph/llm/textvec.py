@@ -49,6 +49,14 @@ def data_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def characters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and where each text begins and the last ends among them."""
+    if not len(raw) or raw.max() < 128:
+        return raw.astype(np.uint32), offsets
+    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32), before[offsets]
+
+
 def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes, one text at least: what the arrays of one step may hold."""
     i, n = 0, len(offsets) - 1
@@ -88,6 +96,7 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
         self._sums: np.ndarray | None = None
+        self._leads: tuple[np.ndarray, np.ndarray] | None = None
 
     def __len__(self) -> int:
         return len(self.start)
@@ -113,10 +122,17 @@ class Words:
         return mix(self._range(self.start, self.end))
 
     def prefix_hashes(self, n: int) -> np.ndarray:
-        """A hash of the first ``n`` bytes of each word; 0 for words that are not longer."""
-        long = self.end - self.start > n
+        """A hash of the first ``n`` characters of each word; 0 for words that are not longer."""
+        cut = self.start + n
+        if len(self.raw) and self.raw.max() >= 128:
+            if self._leads is None:
+                begins = (self.raw & 0xC0) != 0x80
+                self._leads = np.append(np.flatnonzero(begins), len(self.raw)), (np.cumsum(begins) - 1)[self.start]
+            leads, number = self._leads
+            cut = leads[np.minimum(number + n, len(leads) - 1)]
+        long = cut < self.end
         out = np.zeros(len(self), np.uint64)
-        out[long] = mix(self._range(self.start[long], self.start[long] + n) ^ np.uint64(n * 0x51ED27))
+        out[long] = mix(self._range(self.start[long], cut[long]) ^ np.uint64(n * 0x51ED27))
         return out
 
 

@@ -22,7 +22,7 @@ from .training import labelled_sample, within
 
 #: Hash buckets of the features; the weights take 4 bytes each.
 BUCKETS = 1 << 18
-#: Lengths in bytes of the word beginnings that are features beside the word.
+#: Lengths in characters of the word beginnings that are features beside the word.
 BEGINNINGS = (4, 5, 6)
 #: Labelled documents of each class to learn from, and bytes of their features at most.
 PER_CLASS, SAMPLE_BYTES = 2500, 64 << 20
@@ -160,7 +160,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], locate: bool = False
 
 
 def kept(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a score under ``threshold``, all columns as they were."""
+    """The rows of ``docs`` with a score under ``threshold``, all columns as they were.
+
+    A null or empty text has the score of a sentence without words, as in ``score``. Repeated rows stay or go together,
+    rows without an id are judged by their text like all others. Other columns may have any names. An empty table stays
+    empty.
+    """
     weights, bias = model
     at = docs.columns.index("text")
 
@@ -181,5 +186,11 @@ def held_out(doc_id="doc_id"):
 
 
 def predicted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of ``docs`` under a model of the labels that aren't held out.
+
+    Null and empty texts have the score of a sentence without words; rows with a null id are scored too and count as ids
+    of the empty text in the fold. Repeated rows have equal results. A label that is null, contradicted or without a
+    document teaches nothing; with labels of one class alone all scores are alike. An empty table stays empty.
+    """
     out = score(docs, fit(docs, labels, ~held_out()))
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
