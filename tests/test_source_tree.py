@@ -114,3 +114,62 @@ def test_git_log(spark):
     lines = ["COMMIT:a1|100", "", "x.py", "y.py", "COMMIT:b2|50", "COMMIT:c3|70", "x.py"]
     got = {r.hash: (r.ts, r.files) for r in fs.git_log(spark.createDataFrame(list(enumerate(lines)), "n long, line string")).collect()}
     assert got == {"a1": (100.0, ["x.py", "y.py"]), "c3": (70.0, ["x.py"])}
+
+
+def ends(found, kind):
+    return {(e["src"].split("::")[-1], e["dst"].split("::")[-1]) for e in found.edges if e["type"] == kind}
+
+
+def test_python_nested_functions_and_aliases():
+    text = "class A:\n    def run(self):\n        def inner():\n            deep()\n        box = Box()\n        box.open()\n        go = self.stop\n        go()\n        return inner()\n"
+    found = parse(text, "a.py", "python")
+    calls = ends(found, "CALLS")
+    assert ("A.run.inner", "deep") in calls and ("A.run", "deep") not in calls and ("A.run", "Box.open") in calls and ("A.run", "A.stop") in calls
+    assert {n["id"].split("::")[-1]: n["calls"] for n in found.nodes}["A.run.inner"] == 1
+
+
+def test_declared_routes():
+    text = "urlpatterns = [\n    path('users/<int:pk>/', UserView.as_view()),\n    re_path(r'^old/', views.old),\n    path('api/', include('api.urls')),\n]\nrouter.register('boxes', BoxSet)\n\ndef old(r):\n    pass\n\nclass UserView:\n    pass\n\nclass BoxSet:\n    pass\n"
+    reads = {n["id"].split("::")[-1]: n["reads"] for n in parse(text, "urls.py", "python").nodes}
+    assert reads["UserView"] == ["ROUTE:ANY:/users/<int:pk>/"] and reads["old"] == ["ROUTE:ANY:/old/"] and reads["BoxSet"] == ["ROUTE:ANY:/boxes"] and reads["<module>"] == ["ROUTE:ANY:/api"]
+
+
+def test_wrappers_of_http_clients():
+    text = "export async function request(url) { return fetch(url); }\nexport const load = async () => { return request('/api/users/7'); }\nexport function save() { return axios.post('/api/users', {}); }\nexport function other() { return request2('/api/x'); }\n"
+    reads = {n["id"].split("::")[-1]: n["reads"] for n in parse(text, "a.ts", "typescript").nodes}
+    assert reads["request"] == ["HTTP:wrapper"] and reads["load"] == ["HTTP:/api/users/7"] and reads["save"] == ["HTTP:POST:/api/users"] and reads["other"] == []
+
+
+def test_bridges(spark, tmp_path):
+    from weftgraph.engine import GraphEngine
+
+    (tmp_path / "srv.py").write_text("@app.get('/api/users/{id}')\ndef user(id):\n    return id\n\n@app.post('/api/users')\ndef add():\n    pass\n")
+    (tmp_path / "web.ts").write_text("export function load() { return fetch('/api/users/7'); }\nexport function save() { return axios.post('/api/users', {}); }\nexport function any(u) { return fetch(`${u}`); }\n")
+    engine = GraphEngine.from_tree(spark, str(tmp_path))
+    got = {(r.src.split("::")[1], r.dst.split("::")[1], r.confidence) for r in engine.routes().collect()}
+    assert got == {("load", "user", "resolved"), ("save", "add", "resolved")}
+    assert {(r.src.split("::")[1], r.dst.split("::")[1]) for r in engine.edges.where("type = 'INVOKES'").collect()} == {("load", "user"), ("save", "add")}
+
+
+@pytest.mark.parametrize(
+    ("lang", "text", "bases", "calls", "last"),
+    [
+        ("java", "public class Box extends Base implements A, B<C> {\n    public int open(int k) {\n        return helper(k) + this.size();\n    }\n}\n", {"Base", "A", "B"}, {"helper", "this.size"}, {"Box": 5, "open": 4}),
+        ("kotlin", "class Box(val x: Int) : Base(), Shape {\n    fun open(): Int {\n        return helper()\n    }\n}\n", {"Base", "Shape"}, {"helper"}, {"Box": 5, "open": 4}),
+        ("ruby", "class Box < Base\n  def open(k)\n    helper(k)\n  end\nend\n", {"Base"}, {"helper"}, {"Box": 5, "open": 4}),
+        ("go", "type S struct {\n\tn int\n}\n\nfunc (s S) Run() {\n\tfmt.Println(go1(s.n))\n}\n", set(), {"fmt.Println", "go1"}, {"S": 3, "Run": 7}),
+        ("rust", "pub struct S {\n    n: u32,\n}\n\npub fn run(n: u32) -> u32 {\n    // skip(me)\n    std::cmp::max(n, two())\n}\n", set(), {"std.cmp.max", "two"}, {"S": 3, "run": 8}),
+        ("lua", "local function run(k)\n  return helper(k)\nend\n", set(), {"helper"}, {"run": 3}),
+        ("php", "class Box extends Base implements A {\n    public function open($k) {\n        return helper($k);\n    }\n}\n", {"Base", "A"}, {"helper"}, {"Box": 5, "open": 4}),
+        ("csharp", "class Box : Base, IShape\n{\n    public int Open(int k) {\n        return Helper(k);\n    }\n}\n", {"Base", "IShape"}, {"Helper"}, {"Box": 6, "Open": 5}),
+    ],
+)
+def test_other_languages(lang, text, bases, calls, last):
+    found = parse(text, f"a.{lang}", lang)
+    assert {b for _, b in ends(found, "INHERITS")} == bases and {b for _, b in ends(found, "CALLS")} == calls
+    assert {n["id"].split("::")[-1]: n["end_line"] for n in found.nodes if n["kind"] != "file"} == last
+
+
+def test_sql_changes_of_tables():
+    found = parse("ALTER TABLE carts ADD n INT;\nCREATE UNIQUE INDEX i ON items (id);\nCREATE TABLE lines (c INT REFERENCES carts(id));\nCREATE VIEW v AS SELECT * FROM items;\n", "a.sql", "sql")
+    assert ends(found, "WRITES") == {("query_1", "carts"), ("query_2", "items")} and ends(found, "READS") == {("lines", "carts"), ("v", "items")}

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .operators import context, task, temporal
 from .operators import graph as g
 from .operators.budget import telemetry
-from .plans import lenses, traverse
+from .plans import bridges, lenses, traverse
 from .plans.components import components
 from .sources import store
 
@@ -32,6 +33,8 @@ class GraphEngine:
         nodes, raw, _ = parse_files(written(scan(spark, root, rules).select("path", "kind", "text"), "files")[0])
         nodes, raw = written(nodes, "nodes")[0], written(raw, "raw-edges")[0]
         edges, outside = resolve(nodes.select("id", "kind", "file"), raw)
+        invoked = bridges.links(nodes).select("src", "dst", F.lit("INVOKES").alias("type"), "confidence").distinct()
+        edges = edges.unionByName(invoked, allowMissingColumns=True)
         return cls(nodes.unionByName(outside, allowMissingColumns=True), written(edges, "edges")[0], commits)
 
     @classmethod
@@ -130,8 +133,8 @@ class GraphEngine:
         return g.kind_counts(self.nodes)
 
     def routes(self) -> DataFrame:
-        """INVOKES edges: clients with the routes that they reach."""
-        return self.edges.where("type = 'INVOKES'").orderBy("src", "dst")
+        """(src, dst, method, route, confidence): client calls with the routes that they reach."""
+        return bridges.links(self.nodes).orderBy("src", "dst", "route")
 
     def stats(self, calls: DataFrame) -> DataFrame:
         return telemetry(calls)

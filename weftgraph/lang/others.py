@@ -34,6 +34,10 @@ def sql(text: str, path: str) -> Found:
             own = found.node(f"query_{n}", "sql_query", " ".join(plain.split())[:80], start, end, plain)
         found.edge(own, top, "DEFINED_IN", start, "statement", "resolved", end)
         reads, writes = named_tables(plain)
+        if altered := re.match(r"(?:alter\s+table(?:\s+if\s+exists)?(?:\s+only)?|create\s+(?:unique\s+)?index\s.*?\bon(?:\s+only)?|comment\s+on\s+table|drop\s+table(?:\s+if\s+exists)?)\s+[\"`]?([\w.]+)", plain, re.IGNORECASE | re.DOTALL):
+            writes = writes | {altered[1]}
+        if made:  # what a table refers to or is made from
+            reads = (reads | set(re.findall(r"\breferences\s+[\"`]?([\w.]+)", plain, re.IGNORECASE))) - {made[2]}
         for kind, tables in (("READS", reads), ("WRITES", writes)):
             for t in sorted(tables):
                 found.edge(own, t, kind, start, "sql", end=end)
@@ -112,6 +116,8 @@ _TS = re.compile(
     r"|\bconst\s+(?P<const>[A-Z][A-Z0-9_]+)\s*="
 )
 _METHOD = re.compile(r"^\s*(?:public |private |protected |static |async |readonly |get |set )*(?P<m>[A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\((?P<a>[^)]*)\)\s*(?::\s*[^{]+)?\{", re.MULTILINE)
+_HTTP = re.compile(r"\b(?:fetch|(?:axios|apiClient)(?:\.(get|post|put|delete|patch))?)\s*\(\s*['\"`]([^'\"`]+)['\"`]", re.IGNORECASE)
+_CLIENT = re.compile(r"\b(?:fetch|axios(?:\.(?:get|post|put|delete|patch))?)\s*\(")
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "typeof", "new", "await", "super", "constructor"}
 
 
@@ -137,12 +143,13 @@ def typescript(text: str, path: str) -> Found:
         end = _close(plain, brace) if brace >= 0 else plain.find("\n", at) if plain.find("\n", at) > 0 else len(plain) - 1
         own = found.id(name)
         n = calls(own, brace if brace >= 0 else at, end)
-        http = {f"HTTP:{(m[1] or 'get').upper()}:{m[2]}" for m in re.finditer(r"\b(?:fetch|(?:axios|apiClient)\.(get|post|put|delete|patch))\s*\(\s*['\"`]([^'\"`]+)", text[at : end + 1])}
+        http = {f"HTTP:{m[1].upper()}:{m[2]}" if m[1] else f"HTTP:{m[2]}" for m in _HTTP.finditer(text, at, end + 1)}
         branches = len(re.findall(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?![.:?])", plain[at : end + 1]))
         found.node(name, kind, text[at:].split("\n")[0].strip()[:80], line(at), line(end), text[at : end + 1], complexity=1 + branches, calls=n, params=[a.strip() for a in args.split(",") if a.strip()], reads=http)
         found.edge(holder, own, "DEFINED_IN", line(at), kind, "resolved")
+        routines.append((found.nodes[-1], at, end + 1))
 
-    inside = 0
+    inside, routines = 0, []
     for m in _TS.finditer(plain):
         if m["what"]:
             brace = plain.find("{", m.end() - 1) if m["what"] != "type" else -1
@@ -167,9 +174,24 @@ def typescript(text: str, path: str) -> Found:
         elif m["const"]:
             own = found.node(m["const"], "variable", text[m.start() :].split("\n")[0].strip()[:80], line(m.start()), line(m.start()))
             found.edge(top, own, "DEFINED_IN", line(m.start()), "const", "resolved")
+    _through_wrappers(text, routines)
     return found
 
 
+def _through_wrappers(text: str, routines: list[tuple[dict, int, int]]) -> None:
+    """URLs that are given to functions which call an HTTP client are calls of the function that gives them."""
+    clients = [r for r in routines if _CLIENT.search(text, r[1], r[2])]
+    names = sorted({n["id"].split("::")[-1].split(".")[-1] for n, _, _ in clients}, key=lambda x: (-len(x), x))
+    for n, at, end in routines:
+        if names:
+            given = re.compile(rf"\b(?:{'|'.join(map(re.escape, names))})\s*(?:<[^>]*>)?\s*\(\s*['\"`]([^'\"`]+)").finditer(text, at, end)
+            known = {x.split(":")[-1] for x in n["reads"]}
+            urls = {m[1] for m in given if re.match(r"/|http", m[1]) or "/api" in m[1].lower()}
+            n["reads"] = sorted({*n["reads"], *(f"HTTP:{u}" for u in urls - known)})
+        if any(n is c for c, _, _ in clients) and not any(x.startswith("HTTP:") for x in n["reads"]):
+            n["reads"] = sorted([*n["reads"], "HTTP:wrapper"])
+
+
 _NAME = r"([A-Za-z_][\w]*)"
 #: (lines that begin classes, functions, imports) by language; group 1 of each is the name.
 PATTERNS = {
@@ -192,16 +214,58 @@ PATTERNS = {
 SAME_AS = {"cpp": "c", "csharp": "java", "kotlin": "swift", "scala": "swift", "zig": "rust", "erlang": "elixir", "objc": "c", "dart": "java", "solidity": "java", "groovy": "java"}
 
 
+# Languages whose blocks are closed by a word or by what stands less far right; in the others braces close them.
+_WORD_BLOCKS = {"ruby", "lua", "elixir", "erlang", "julia", "fortran", "verilog", "markdown"}
+#: What a class line says of its bases.
+_BASES = re.compile(r"\b(?:extends|implements|inherits|with)\s+([\w.:<>, ]+?)(?=\s*(?:\b(?:extends|implements|with|where)\b|[{(]|$))|(?:class|struct|interface|protocol|object|trait|contract)\s+\w+(?:<[^>]*>)?(?:\([^)]*\))?\s*(?::|<(?!<))\s*([\w.:<>, ()]+?)(?=\s*(?:[{]|where\b|$))|\bis\s+([\w, ]+?)(?=\s*\{)")
+_NO_CALL = _WORDS | {"elif", "unless", "until", "match", "when", "loop", "fn", "func", "fun", "def", "end", "do", "else", "sizeof", "print", "println", "let", "var", "and", "or", "not", "in", "foreach", "assert", "defer", "go", "select", "using", "lock", "use", "mod", "pub"}
+
+
+def _block_end(lines: list[str], i: int, by_words: bool) -> int:
+    """The last line (from 1) of the block that line i (from 0) opens: where its braces close, or before the next line that
+    stands no further right, a closing word included; the line itself where it opens none."""
+    depth, opened = 0, False
+    if not by_words:
+        for k in range(i, len(lines)):
+            plain = re.sub(r"//.*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", "", lines[k])
+            depth += plain.count("{") - plain.count("}")
+            opened = opened or "{" in plain
+            if opened and depth <= 0:
+                return k + 1
+            if not opened and (k > i + 1 or plain.rstrip().endswith(";")):
+                return i + 1
+        return len(lines) if opened else i + 1
+    own = len(lines[i]) - len(lines[i].lstrip())
+    for k in range(i + 1, len(lines)):
+        if lines[k].strip() and len(lines[k]) - len(lines[k].lstrip()) <= own:
+            return k + 1 if re.match(r"\s*end\b|\s*\}", lines[k]) else k
+    return len(lines)
+
+
+def _names_of(bases: str) -> list[str]:
+    return [b for b in (re.sub(r"<.*?>|\([^)]*\)|\b(?:public|private|protected|virtual)\b", "", x).strip() for x in bases.split(",")) if re.fullmatch(r"[\w.:]+", b)]
+
+
 def by_lines(text: str, path: str, lang: str) -> Found:
-    """Classes, functions and imports by the patterns of a language, line by line."""
+    """Classes with their bases, functions with the calls in their blocks, and imports, by the patterns of a language."""
     found = Found(path, lang)
     classes, functions, imports = (re.compile(p) for p in PATTERNS[SAME_AS.get(lang, lang)])
     top = found.node("<module>", "file", f"{lang} {found.path}", 1, max(1, text.count("\n") + 1), text)
-    for i, line in enumerate(text.split("\n"), 1):
+    lines, by_words, prose = text.split("\n"), SAME_AS.get(lang, lang) in _WORD_BLOCKS or lang in _WORD_BLOCKS, lang == "markdown"
+    for i, line in enumerate(lines, 1):
         for kind, pattern in (("class", classes), ("function", functions)):
             if m := pattern.search(line):
-                own = found.node(m[1], kind, line.strip()[:80], i, i, line)
-                found.edge(own, top, "DEFINED_IN", i, "line", "resolved")
+                end = i if prose else _block_end(lines, i - 1, by_words)
+                body = "\n".join(lines[i - 1 : end])
+                made = [] if kind == "class" or prose else [(k, c[1]) for k, x in enumerate(lines[i:end], i + 1) for c in re.finditer(r"\b([A-Za-z_][\w]*(?:(?:\.|::|->)[A-Za-z_]\w*)*[!?]?)\s*\(", re.sub(r"//.*|#.*|\"(?:\\.|[^\"\\])*\"", "", x)) if c[1] not in _NO_CALL]
+                own = found.node(m[1], kind, line.strip()[:80], i, end, body, calls=len(made))
+                found.edge(own, top, "DEFINED_IN", i, "line", "resolved", end)
+                for k, callee in made:
+                    found.edge(own, callee.replace("->", ".").replace("::", "."), "CALLS", k, "line")
+                if kind == "class" and not prose:
+                    for b in _BASES.finditer(line.split("//")[0]):
+                        for base in _names_of(b[1] or b[2] or b[3] or ""):
+                            found.edge(own, base, "INHERITS", i, "line")
                 break
         else:
             if m := imports.search(line):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Iterator
 
 from .model import Found, named_tables
 
@@ -23,9 +24,73 @@ def parse(text: str, path: str) -> Found:
     doc = (ast.get_docstring(tree) or "").strip().split("\n")[0]
     module = found.node("<module>", "file", f"module {found.path}", 1, max(1, len(lines)), text, story=doc or f"Python module {found.path}")
     _Walk(found, lines, module).body(tree.body, "", module)
+    _add_routes(found, tree)
     return found
 
 
+def _inside(s: ast.AST) -> Iterator[ast.AST]:
+    """The nodes of a definition apart from those of definitions in it, which have their own."""
+    rest = list(ast.iter_child_nodes(s))
+    while rest:
+        n = rest.pop()
+        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            rest += n.decorator_list
+            continue
+        yield n
+        rest += ast.iter_child_nodes(n)
+
+
+def _aliases(s: ast.AST) -> dict[str, str]:
+    """Local names that stand for something else: other names, or what makes the object they hold."""
+    out = {}
+    for n in _inside(s):
+        if isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name):
+            value = n.value.func if isinstance(n.value, ast.Call) else n.value
+            made = isinstance(n.value, ast.Call)
+            name = ast.unparse(value) if isinstance(value, (ast.Name, ast.Attribute)) else ""
+            if name and (not made or name.split(".")[-1][:1].isupper()) and name != n.targets[0].id:
+                out[n.targets[0].id] = name
+    return out
+
+
+def _view(arg: ast.expr) -> str | None:
+    """The name of a view: a name, the last part of a dotted one, or the class whose as_view is called."""
+    while isinstance(arg, ast.Call):
+        arg = arg.func
+    if isinstance(arg, ast.Attribute) and arg.attr == "as_view":
+        arg = arg.value
+    return arg.id if isinstance(arg, ast.Name) else arg.attr if isinstance(arg, ast.Attribute) else None
+
+
+def _declared_routes(tree: ast.Module) -> Iterator[tuple[str | None, str]]:
+    """(view or none, path) of URL tables and of views registered with routers."""
+    name = lambda f: f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else ""
+    text = lambda a: a.value if isinstance(a, ast.Constant) and isinstance(a.value, str) else None
+    for s in tree.body:
+        targets = s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, (ast.AnnAssign, ast.AugAssign)) else []
+        if any(isinstance(t, ast.Name) and t.id == "urlpatterns" for t in targets) and isinstance(s.value, (ast.List, ast.Tuple)):
+            for e in s.value.elts:
+                if isinstance(e, ast.Call) and name(e.func) in ("path", "re_path", "url") and e.args and (path := text(e.args[0])) is not None:
+                    others = e.args[1:2]
+                    below = bool(others) and isinstance(others[0], ast.Call) and name(others[0].func) == "include"
+                    path = "/" + path.lstrip("^/")
+                    yield (None, path.rstrip("/") or "/") if below else (_view(others[0]) if others else None, path)
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr == "register" and len(n.args) > 1 and (path := text(n.args[0])) is not None:
+            yield _view(n.args[1]), "/" + path.lstrip("/")
+
+
+def _add_routes(found: Found, tree: ast.Module) -> None:
+    """Declared routes as facts of their views, or of the module where the views are elsewhere."""
+    by_name = {}
+    for n in found.nodes:
+        if n["kind"] in ("function", "method", "class"):
+            by_name[n["id"].split("::")[-1].split(".")[-1]] = n
+    for view, path in _declared_routes(tree):
+        card = by_name.get(view, found.nodes[0])
+        card["reads"] = sorted({*card["reads"], f"ROUTE:ANY:{path}"})
+
+
 class _Walk:
     def __init__(self, found: Found, lines: list[str], module: str):
         self.found, self.lines, self.module = found, lines, module
@@ -81,7 +146,8 @@ class _Walk:
         params, returns = [ast.unparse(a) for a in args], ast.unparse(s.returns) if s.returns else None
         complexity, calls, reads, writes, raises = 1, 0, set(), set(), set()
         owner = prefix.rstrip(".")
-        for n in ast.walk(s):
+        alias = _aliases(s)
+        for n in _inside(s):
             if isinstance(n, _BRANCHES):
                 complexity += 1
             elif isinstance(n, ast.BoolOp):
@@ -89,6 +155,8 @@ class _Walk:
             elif isinstance(n, ast.Call):
                 calls += 1
                 callee = ast.unparse(n.func)
+                first, dot, rest = callee.partition(".")
+                callee = alias[first] + dot + rest if first in alias else callee
                 env = callee in ("os.getenv", "os.environ.get", "getenv") and n.args and isinstance(n.args[0], ast.Constant)
                 if env:
                     reads.add(str(n.args[0].value))
