@@ -40,7 +40,7 @@ def run(spark, sf, name):
 
 
 def test_every_query_without_sql_has_a_test():
-    tested = {"connected_components", "blast_radius", "blast_summary", "identifier_variants", "explain_task", "context_package", "suggested_questions", "task_intents"}
+    tested = {"connected_components", "blast_radius", "blast_summary", "identifier_variants", "explain_task", "context_package", "suggested_questions", "task_intents", "modularity_communities"}
     assert set(catalog.queries()) - set(catalog.oracles()) == tested
 
 
@@ -80,6 +80,17 @@ def test_blast_radius(spark, sf):
     assert all(r.category == "rule" for r in rows if r.id.startswith("sql:supply/"))
 
 
+def test_modularity_communities(spark, sf):
+    """All nations, in communities whose modularity is no lower than that of the regions or of label propagation."""
+    from weftgraph.catalog.traversal import _members, trade
+    from weftgraph.plans import communities as cm
+
+    links, found = trade(spark, sf), catalog.queries()["modularity_communities"](spark, sf)
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in _members(spark, sf).collect())
+    q = lambda m: cm.modularity(m, links).first().modularity
+    assert q(found) >= max(q(_members(spark, sf)), q(catalog.queries()["label_propagation"](spark, sf))) - 1e-9
+
+
 def test_identifier_variants(spark, sf):
     from pyspark.sql import functions as F
 

@@ -9,6 +9,7 @@ from weftgraph.lang.dispatch import parse
 from weftgraph.plans.resolve import resolve, update_files
 from weftgraph.sources import files as fs
 from weftgraph.sources import store
+from weftgraph.sources.tables import written
 
 TREE = {
     "app/shop/cart.py": '"""Carts."""\nimport os\nfrom .price import total, Price\nfrom app.util import log\n\nLIMIT = 3\n\nclass Cart(Price):\n    def __init__(self):\n        self.items = []\n\n    def add(self, x):\n        if x and self.items or x > 1:\n            raise ValueError(x)\n        self.items.append(x)\n        return total(self.items)\n\n    def save(self):\n        os.getenv("SHOP_DB")\n        q = "INSERT INTO carts SELECT id FROM items"\n        return log(q)\n',
@@ -81,6 +82,18 @@ def test_update_keeps_callers(spark, tree):
     new_nodes, new_raw, _ = parse_files(new)
     _, _, done = update_files(nodes, None, raw, spark.createDataFrame([("app/util.py",)], "file string"), new_nodes, new_raw)
     assert done.where("dst = 'py:app/util.py::log' and src like '%Cart.save'").count() == 1
+    # from the edges as they were resolved before: the same edges, and few of them anew
+    nodes, raw = written(nodes, "n")[0], written(raw, "r")[0]
+    before, outside = (written(df, "o")[0] for df in resolve(nodes.select("id", "kind", "file"), raw))
+    had = written(nodes.unionByName(outside, allowMissingColumns=True), "h")[0]
+    n, _, short = update_files(had, before, raw, spark.createDataFrame([("app/util.py",)], "file string"), new_nodes, new_raw)
+    rows = lambda df: sorted((r.src, r.dst, r.type, r.confidence, r.start_line) for r in df.collect())
+    assert rows(short) == rows(done)
+    renamed = spark.createDataFrame([("app/util.py", "python", "def note(s):\n    pass\n")], "path string, kind string, text string")
+    rn, rr, _ = parse_files(renamed)
+    whole = update_files(had, None, raw, spark.createDataFrame([("app/util.py",)], "file string"), rn, rr)
+    short = update_files(had, before, raw, spark.createDataFrame([("app/util.py",)], "file string"), rn, rr)
+    assert rows(short[2]) == rows(whole[2]) and sorted(r.id for r in short[0].collect()) == sorted(r.id for r in whole[0].collect())
 
 
 def test_errors_are_rows(spark):
@@ -99,6 +112,10 @@ def test_store(spark, tree, tmp_path):
     assert n.count() == nodes.count() and e.count() == edges.count()
     assert {r.digest for r in store.manifest(n, e).collect()} == {r.digest for r in spark.read.parquet(path + "/manifest").collect()}
     assert store.load_file(spark, path, "app/util.py").count() == 2
+    some = e.first()
+    assert store.load_node(spark, path, "py:app/util.py::log").count() == 1 and store.edges_of(spark, path, src=some.src, kind=some.type).where("src <> dst").count() >= 1
+    store.save_lenses(n, e, path)
+    assert {r.type for r in store.load_lens(spark, path, "call")[1].collect()} <= {"CALLS"}
     with pytest.raises(FileNotFoundError):
         store.load_file(spark, path, "none.py")
     links = {r.name: r.links for r in store.read_notes(store.notes(n, e)).collect()}

@@ -76,6 +76,29 @@ def test_components_chain_and_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_communities_by_modularity(spark):
+    """Planted groups come out; the score is that of the plain formula; nodes without links stay alone."""
+    import random
+
+    from weftgraph.plans import communities as cm
+
+    rng = random.Random(3)
+    group = {i: i // 12 for i in range(84)}
+    links = [(i, j) for i in group for j in group if i < j and rng.random() < (0.7 if group[i] == group[j] else 0.02)]
+    df = spark.createDataFrame(links + [(b, a) for a, b in links[:50]] + [(5, 5)], "src long, dst long")
+    found = cm.by_modularity(df, spark.createDataFrame([(500,), (3,)], "id long"))
+    got = {r.id: r.community for r in found.collect()}
+    assert len(got) == 85 and got[500] == 500 and len({(group[i], got[i]) for i in group}) <= 9 and len({got[i] for i in group}) >= 6
+    degree = defaultdict(int)
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    want = sum((got[a] == got[b]) / len(links) for a, b in links) - sum((sum(degree[i] for i in group if got[i] == c) / (2 * len(links))) ** 2 for c in set(got.values()))
+    assert cm.modularity(found, df).first().modularity == pytest.approx(want, abs=1e-6) and want > 0.7
+    assert {r.id: r.community for r in cm.by_modularity(df, spark.createDataFrame([(500,), (3,)], "id long")).collect()} == got
+    assert cm.by_modularity(df.limit(0)).count() == 0
+
+
 def test_cycles(spark):
     links = [(1, 2), (2, 1), (2, 3), (3, 1), (4, 5), (5, 5), (6, 1)]
     got = {tuple(r.cycle) for r in tr.cycles(spark.createDataFrame(links, "src long, dst long"), 4).collect()}

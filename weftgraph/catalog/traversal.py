@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import confidence as c
+from ..plans import communities as cm
 from ..plans import traverse as tr
 from ..plans.components import components
 from ..sources.graph_views import edges, nodes, table
@@ -140,6 +141,19 @@ def label_propagation(spark, d):
     return tr.label_propagation(trade(spark, d))
 
 
+@query(f"""with {_TRADE}, m as (select n_nationkey::bigint as id, n_regionkey as community from nation), p as (select distinct least(src, dst) as a, greatest(src, dst) as b from t), e as (select x.community as ca, y.community as cb from p join m x on x.id = a join m y on y.id = b),
+s as (select ca as community, (ca = cb)::int as inside from e union all select cb, 0 from e), c as (select community, sum(inside) as inside, count(*) as degree from s group by 1), n as (select count(*) as n_links from e)
+select n_links, round(sum(inside / n_links::double - power(degree / (2.0::double * n_links), 2)), 6) as modularity from c, n group by n_links""")
+def modularity(spark, d):
+    return cm.modularity(_members(spark, d), trade(spark, d))
+
+
+@query()
+def modularity_communities(spark, d):
+    """Nations by trade."""
+    return cm.by_modularity(trade(spark, d), table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id")))
+
+
 _REGION = "m as (select n_nationkey::bigint as id, n_regionkey as community from nation)"
 
 

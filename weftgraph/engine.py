@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import context, task, temporal
 from .operators import graph as g
 from .operators.budget import telemetry
-from .plans import bridges, lenses, traverse
+from .plans import bridges, communities, lenses, traverse
 from .plans.components import components
 from .sources import store
 
@@ -109,8 +109,11 @@ class GraphEngine:
         e = self.edges.where("type = 'IMPORTS'").join(home.toDF("src", "src_file"), "src").join(home.toDF("dst", "dst_file"), "dst")
         return traverse.cycles(e.selectExpr("src_file as src", "dst_file as dst").where("not (src rlike '[.](md|rst|txt)$' or dst rlike '[.](md|rst|txt)$')"), longest)
 
-    def communities(self, rounds: int = 5) -> DataFrame:
-        return traverse.label_propagation(self.edges.select("src", "dst").where("not src like 'ext:%' and not dst like 'ext:%'"), rounds)
+    def communities(self) -> DataFrame:
+        """(id, community) by modularity, without external and configuration nodes."""
+        inner = self.nodes.where("not id like 'ext:%'").where(~F.col("kind").isin(lenses.CONFIG_KINDS)).select("id")
+        e = self.edges.select("src", "dst").join(inner.toDF("src"), "src", "left_semi").join(inner.toDF("dst"), "dst", "left_semi")
+        return communities.by_modularity(e, inner)
 
     def components(self) -> DataFrame:
         """(id, component): the weakly connected parts, named by their least id's hash."""

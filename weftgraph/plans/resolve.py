@@ -12,6 +12,7 @@ import sys
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .lenses import language
 
 CODE_ENDINGS = r"\.(py|ts|tsx|js|jsx|mjs|cjs)$"
@@ -152,11 +153,30 @@ def resolve(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def update_files(nodes: DataFrame, edges: DataFrame, raw_edges: DataFrame, changed: DataFrame, new_nodes: DataFrame, new_raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, raw edges, edges) after the files in ``changed`` (file) were parsed anew, gone files having no new rows.
 
-    Raw edges of all other files are kept and resolved again, so that calls into a changed file survive it.
+    Raw edges of other files are resolved again where they name something that a changed file had or has, so that calls
+    into it survive it; all their other edges stay as they were resolved (``edges``; without it all are resolved again).
     """
     gone = changed.select("file").distinct()
     kept = nodes.join(gone, "file", "left_anti").where("not id like 'ext:%'")
     all_nodes = kept.unionByName(new_nodes)
-    raw = raw_edges.join(gone, "file", "left_anti").unionByName(new_raw)
-    done, outside = resolve(all_nodes.select("id", "kind", "file"), raw)
-    return all_nodes.unionByName(outside, allowMissingColumns=True), raw, done
+    others = raw_edges.join(gone, "file", "left_anti")
+    raw = others.unionByName(new_raw)
+    if edges is None:
+        done, outside = (written(df, "resolved")[0] for df in resolve(all_nodes.select("id", "kind", "file"), raw))
+        return all_nodes.unionByName(outside, allowMissingColumns=True), raw, done
+    last = lambda c: F.element_at(F.split(F.lower(c), r"::|[./]"), -1)
+    touched = nodes.join(gone, "file", "left_semi").select("id", "file").unionByName(new_nodes.select("id", "file"))
+    stem = F.regexp_extract(F.lower("file"), r"([^/.]+)(?:\.[^/]*)?$", 1)
+    names = touched.select(last(F.col("id")).alias("__name")).union(touched.select(stem)).union(touched.select(F.regexp_extract(F.lower("file"), "([^/]+)/[^/]*$", 1))).distinct()
+    # an edge of a line goes with the others that its source has there, as a resolved edge no longer says its raw name
+    key = ["src", "type", "file", "start_line"]
+    plain = F.when(F.col("dst").rlike(r"\.[a-z]{1,4}$") & F.col("dst").contains("/"), F.regexp_extract(F.lower("dst"), r"([^/.]+)(?:\.[^/]*)?$", 1)).otherwise(last(F.col("dst")))
+    parts = others.withColumn("__name", F.explode(F.array_distinct(F.concat(F.array(plain), F.split(F.lower("dst"), r"::|[./]")))))
+    again_keys = parts.join(names, "__name", "left_semi").select(*key).distinct()
+    again = others.join(again_keys, key, "left_semi").unionByName(new_raw)
+    done, outside = (written(df, "resolved")[0] for df in resolve(all_nodes.select("id", "kind", "file"), again))
+    stays = edges.join(gone, "file", "left_anti").join(again_keys, key, "left_anti")
+    done = stays.unionByName(done.select(*stays.columns))
+    still = nodes.where("id like 'ext:%'").join(stays.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+    new_outside = outside.join(still.select("id"), "id", "left_anti")
+    return all_nodes.unionByName(still, allowMissingColumns=True).unionByName(new_outside, allowMissingColumns=True), raw, done

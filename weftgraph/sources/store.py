@@ -27,6 +27,45 @@ def load_file(spark: SparkSession, path: str, file: str, shards: int = 64) -> Da
     return found
 
 
+def load_node(spark: SparkSession, path: str, node_id: str) -> DataFrame:
+    """The node of an id, and no other file than those whose statistics may hold it."""
+    return spark.read.parquet(f"{path}/nodes").where(F.col("id") == node_id).drop("shard")
+
+
+def edges_of(spark: SparkSession, path: str, src: str | None = None, dst: str | None = None, kind: str | None = None, shards: int = 64) -> DataFrame:
+    """Edges by any of their ends and type, in their order; those of a source come from its shard alone."""
+    found = spark.read.parquet(f"{path}/edges")
+    if src is not None:
+        own = spark.range(1).select(F.pmod(F.xxhash64(F.lit(src)), F.lit(shards))).first()[0]
+        found = found.where((F.col("shard") == own) & (F.col("src") == src))
+    for column, value in (("dst", dst), ("type", kind)):
+        found = found if value is None else found.where(F.col(column) == value)
+    return found.drop("shard").orderBy("src", "dst", "type", "confidence")
+
+
+def save_lenses(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Each named lens as tables of its own."""
+    from ..plans.lenses import LENSES, named_lens
+
+    for name in LENSES:
+        n, e = named_lens(nodes, edges, name)
+        n.write.mode("overwrite").parquet(f"{path}/lenses/{name}/nodes")
+        e.write.mode("overwrite").parquet(f"{path}/lenses/{name}/edges")
+
+
+def load_lens(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/lenses/{name}/nodes"), spark.read.parquet(f"{path}/lenses/{name}/edges")
+
+
+def save_analytics(engine, path: str, top: int = 50) -> None:
+    """What readers ask for most, worked out once: degrees, surprising links, communities, one-hop counts, kinds."""
+    from ..operators import graph as g
+
+    tables = {"god_nodes": engine.god_nodes(top), "surprising": engine.surprising(top), "communities": engine.communities(), "one_hop": g.one_hop(engine.nodes, engine.edges), "kinds": engine.kinds()}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/analytics/{name}")
+
+
 def _sum(df: DataFrame, *cols: str) -> DataFrame:
     """Count and an order-free digest of a multiset of rows: a sum of hashes, so that rows which repeat count each time."""
     each = F.xxhash64(*[F.col(c) if c in df.columns else F.lit(None).cast("string") for c in cols])
