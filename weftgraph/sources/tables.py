@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,14 +13,14 @@ _made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, or that ``SparkContext.setCheckpointDir`` was given. On one machine,
-    where neither is, a folder beside the session's warehouse."""
+    """The folder that ``spark.checkpoint.dir`` names, or that ``SparkContext.setCheckpointDir`` was given. A session on one
+    machine (a local master) that has neither gets a temporary folder; on a cluster it is an error."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not found:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints"
+        found = f"{tempfile.gettempdir()}/weft-checkpoints"
     return found.rstrip("/")
 
 
