@@ -81,12 +81,10 @@ def test_compile(engine, spark, tree):
     steps = p.plan.collect()
     assert [s.step for s in steps] == list(range(1, len(steps) + 1)) and steps[0].phase == "pre_check" and steps[-1].phase == "post_check"
     assert any(s.phase == "modification" and s.target.endswith("Cart.add") for s in steps) and p.risk in ("LOW", "MEDIUM", "HIGH")
-    tiny = engine.compile("Change how Cart.add saves items", budget=30)
-    assert tiny.stage == 4 and len(tiny.text.split("\n")) <= 5
     made = engine.compile("Create a new exporter like Cart and register it")
     assert [s.phase for s in made.plan.collect()][1] == "scaffold"
     again = engine.compile("Change how Cart.add saves items; do not modify shop/legacy.py", files=files)
-    assert again.text == p.text and ev.same_results(lambda: engine.resolve("Fix Cart.add"), 2)
+    assert again.text == p.text and ev.same_results(engine.kinds, 2)
 
 
 def test_backstop_keeps_schema_files(spark):
