@@ -160,3 +160,31 @@ def test_long_names_of_holders():
 
 def test_every_known_sentence_holds_a_hint():
     assert all(any(h in t.rpartition("|")[0].lower() for h in lic._HINTS) for t in lic.TEXTS.values())
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Released under the GPL v2.", ["GPL-2"]), ("Released under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("# Available under the GNU\n# AGPL 3.0", ["AGPL-3.0"]),
+        ("Provided under Creative Commons BY 4.0", ["CC-BY-4.0"]), ("words\n\nAvailable under the GPL\n\nReleased under the MIT License", ["GPL", "MIT"]),
+    ],
+)
+def test_notices_without_common_words(text, names):
+    """No list of words decides which texts are looked at."""
+    assert [n for n, *_ in lic.scan(text)[2]] == names
+
+
+def test_names_of_holders_over_many_lines():
+    holders = "\n".join(f"# Holder {k} of the Example Project," for k in range(300))
+    text = f"{WRAPPED_BSD.split(' * 3')[0]}\n# Neither the name of\n{holders}\n# nor others may be used to endorse or promote products derived from this."
+    assert lic.scan("\n".join(x.replace(" * ", "# ") for x in text.split("\n")))[1] == ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"]
+
+
+def test_many_beginnings_without_an_end():
+    """Time grows with the text, not its square: each place ahead is looked for once."""
+    import time
+
+    for line in ("neither the name of x\n", WRAPPED_GPL.split(";")[0][2:] + " you can redistribute it and/or modify it under the terms of the GNU General Public License\n"):
+        begin = time.process_time()
+        lic.scan(line * 20_000)
+        assert time.process_time() - begin < 30

@@ -10,7 +10,9 @@ that no rule takes are reported as such, so that unknown combinations show.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,9 +24,7 @@ from .license_texts import NOTICES, ONE_LINE, RULES, TEXTS
 _CUT = re.compile(r"(\n+)|(?<=[.!?;])(?<![\s,(][vV]\.)[ \t\r\x0b\x0c]+")
 #: Where a line ends its sentence; the marks of a comment; where a line begins an item of a list or a comment.
 _HARD, _COMMENT, _ITEM = re.compile(r"(?:(?<![\s,(][vV])\.|[!?;:]|\*/|-->)[\"')\s]*$"), re.compile(r"\s*([#*/;%!<>\-]*)"), re.compile(r"\s*(?:/\*|<!--|[#*/;%!<>\-\s]*(?:\(?(?:\d{1,2}|[a-zA-Z])[.)]|[-•])\s)")
-#: Characters of the following lines that a sentence is looked for in.
-_REACH = 2000
-#: Words, in lower case, of which a known sentence holds at least one.
+#: Words, in lower case, of which a known sentence holds at least one; notices need hold none, so no text is passed over for them.
 _HINTS = (
     "license", "licence", "copyright", "(c)", "©", "permission", "permitted", "warrant", "reserved", "public", "software", "notice", "distribut", "endorse", "above", "useful", "version", "obtain", "cc0", "liab", "acknowledg",
     "copied", "eupl", "stuff", "parties", "promote", "origin",
@@ -63,21 +63,80 @@ def _known_table() -> dict[str, list[tuple[str, re.Pattern]]]:
     return {key: [(name, pattern) for _, name, pattern in sorted(found, key=lambda x: x[:2])] for key, found in table.items()}
 
 
-def _match(plain: str, alone: bool) -> tuple[str, re.Match] | None:
-    """The known sentence or notice that normalised text begins with; ``alone``: the text is one piece."""
-    bare = _ENUMERATED.match(plain)  # 1. or a) before a sentence of a list
-    for at in (0, bare.end() if bare else 0):
-        words = plain[at : at + 100].split(" ", LEAD)
+class Run:
+    """Normalised pieces as one text. What is looked for ahead of a place is remembered, so that no stretch of the text is
+    searched twice for it, however many sentences begin before it."""
+
+    def __init__(self, pieces: list[str]):
+        self.pieces, self.text = pieces, " ".join(pieces)
+        self.ends = list(accumulate((len(p) for p in pieces), lambda end, n: end + 1 + n))
+        self.starts = [e - len(p) for e, p in zip(self.ends, pieces, strict=True)]
+        self._seen: dict[re.Pattern, tuple[int, re.Match | None]] = {}
+
+    def ahead(self, pattern: re.Pattern, at: int) -> re.Match | None:
+        """The first place of ``pattern`` from ``at`` on."""
+        since, m = self._seen.get(pattern, (at + 1, None))
+        if since > at or m and m.start() < at:
+            m = pattern.search(self.text, at)
+            self._seen[pattern] = at, m
+        return m
+
+    def sentence(self, pattern: re.Pattern, at: int) -> int | None:
+        """The end of the known sentence that begins at ``at``; its gaps are of any length."""
+        first, *others = PARTS[pattern]
+        m = first.match(self.text, at)
+        for part in others:
+            m = m and self.ahead(part, m.end() + 1)
+        return m.end() if m else None
+
+    def notice(self, name: str, pattern: re.Pattern, at: int) -> re.Match | None:
+        """The notice that begins at ``at``."""
+        m = pattern.match(self.text, at, len(self.text) if name in ONE_LINE else at + _NOTICE)
+        if m is None or name in ONE_LINE:
+            return m
+        if ".*?" not in pattern.pattern:
+            return pattern.match(self.text, at)
+        version = self.ahead(_VERSION_AHEAD, at)
+        later = version and self.ahead(_LATER_AHEAD, version.end())
+        end = later.end() if later else version.end() + 2 if version else 0  # a version may have .1
+        return pattern.match(self.text, at, max(end, at + _NOTICE))
+
+
+def _match(run: Run, at: int, alone: bool) -> tuple[str, dict[str, str], int, int] | None:
+    """(name, what was captured, where its version is or -1, end) of the known sentence or notice that begins at a place;
+    ``alone``: the run is one piece."""
+    text = run.text
+    bare = _ENUMERATED.match(text, at)  # 1. or a) before a sentence of a list
+    for i in (at, bare.end()) if bare else (at,):
+        words = text[i : i + 100].split(" ", LEAD)
         for name, pattern in KNOWN.get(" ".join(words[:LEAD]), ()):
-            if m := pattern.match(plain, at):
-                return name, m
-    for name, pattern in NAMED:
-        if (alone or name not in ONE_LINE) and (m := pattern.match(plain)):
-            return name, m
+            if end := run.sentence(pattern, i):
+                return name, {}, -1, end
+    if (alone and _ANY_ONE_LINE.match(text, at)) or _ANY.match(text, at, at + _NOTICE):
+        for name, pattern in NAMED:
+            if (alone or name not in ONE_LINE) and (m := run.notice(name, pattern, at)):
+                got = {k: v for k, v in m.groupdict().items() if v}
+                return name, got, m.start("v") if "v" in got else -1, m.end()
     return None
 
 
+def _parts(pattern: re.Pattern) -> list[re.Pattern]:
+    """What a known sentence's pattern has before, between and after its gaps."""
+    first, *others = pattern.pattern.split(" .*? ")
+    return [re.compile(p if p.endswith("(?= |$)") else f"{p}(?= )") for p in (first, *(f" {p}" for p in others))]
+
+
+def _any(names: list[str]) -> re.Pattern:
+    return re.compile("|".join(re.sub(r"\?P<\w+>", "?:", pattern) for name, pattern in NOTICES if name in names))
+
+
 KNOWN, NAMED = _known_table(), [(name, re.compile(pattern)) for name, pattern in NOTICES]
+PARTS = {pattern: _parts(pattern) for found in KNOWN.values() for _, pattern in found}
+#: More characters than what a notice is known by has; its version, and a name of any length, may come after them.
+_NOTICE = 400
+_VERSION_AHEAD, _LATER_AHEAD = re.compile(r"version \d"), re.compile("any later version")
+#: Whether there is a notice at all, over several lines or within one.
+_ANY, _ANY_ONE_LINE = _any([name for name, _ in NOTICES if name not in ONE_LINE]), _any(sorted(ONE_LINE))
 
 
 def _rule(words: str) -> re.Pattern:
@@ -122,27 +181,26 @@ def runs(text: str) -> Iterator[list[str]]:
         yield run
 
 
-def known(plain: list[str], k: int) -> tuple[str, dict[str, str], int] | None:
-    """The identifier of the sentence that begins with normalised piece k of a run, what its pattern captured, and how
-    many pieces it has."""
-    whole, ends = plain[k], [len(plain[k])]
-    alone = _match(whole, True)
-    for i in range(k + 1, len(plain)):
-        if len(whole) - ends[0] > _REACH:
-            break
-        whole = f"{whole} {plain[i]}"
-        ends.append(len(whole))
-    hit = _match(whole, False) if len(ends) > 1 else alone
-    got = lambda m: {k: v for k, v in m.groupdict().items() if v}
+def known(run: Run, k: int) -> tuple[str, dict[str, str], int] | None:
+    """The identifier of the sentence that begins with piece k of a run, what its pattern captured, and how many pieces it
+    has."""
+    start, end = run.starts[k], run.ends[k]
+    if k + 1 == len(run.pieces):
+        hit, alone = None, _match(run, start, True)
+    else:
+        hit, alone = _match(run, start, False), None
+        # without a hit, the piece has at most a notice of one line
+        if (hit or _ANY_ONE_LINE.match(run.pieces[k])) and (alone := _match(Run([run.pieces[k]]), 0, True)):
+            alone = (*alone[:2], -1, start + alone[3])
     if hit and alone and hit[0] == alone[0]:
-        at = hit[1].start("v") if "v" in got(hit[1]) else -1
+        _, got, at, upto = hit
         # a number that only begins the next line is no version, and no more is captured: the line is the sentence
-        loose = at - 1 in ends and not whole[: at - 1].endswith((" version", " v"))
-        hit = alone if loose or len(got(hit[1])) <= len(got(alone[1])) and hit[1].end() <= ends[0] or len(got(hit[1])) < len(got(alone[1])) else hit
+        loose = at - 1 in run.ends[k : bisect_left(run.ends, at)] and not run.text.endswith((" version", " v"), start, at - 1)
+        hit = alone if loose or len(got) <= len(alone[1]) and upto <= end or len(got) < len(alone[1]) else hit
     hit = hit or alone
     if hit is None:
         return None
-    return hit[0], got(hit[1]), 1 + sum(e < hit[1].end() for e in ends)
+    return hit[0], hit[1], 1 + bisect_left(run.ends, hit[3], k) - k
 
 
 def _name(template: str, got: dict[str, str]) -> str:
@@ -158,16 +216,11 @@ def _name(template: str, got: dict[str, str]) -> str:
 
 def scan(text: str) -> tuple[int, list[str], list[tuple[str, int, int]], list[str]]:
     """(number of sentences, identifiers in order, licences with their first and last sentence, identifiers no rule took)."""
-    found, sentences, low = [], 0, text.lower()
-    hints = [h for h in _HINTS if h in low]
-    for run in runs(text):
-        k, plain = 0, []
-        if hints:
-            near = "\n".join(run).lower()
-            if any(h in near for h in hints):
-                plain = [normalise(p) for p in run]
-        while k < len(plain):
-            if hit := known(plain, k):
+    found, sentences = [], 0
+    for pieces in runs(text):
+        run, k = Run([normalise(p) for p in pieces]), 0
+        while k < len(pieces):
+            if hit := known(run, k):
                 sentences += k > 0  # a known sentence begins with a line of its own
                 found.append((sentences, *hit[:2]))
             k += hit[2] if hit else 1
@@ -199,8 +252,7 @@ def licences(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no sentences. Equal texts have equal results, repeated rows and ids each have their own. Texts
     of any length are scanned whole, in time that grows with their length: a sentence that begins at a line is looked
-    for in the 2,000 characters from there, which is more than any known one has. Other columns are not looked at; an
-    empty table stays empty.
+    for up to the end of the lines that it may be wrapped onto. Other columns are not looked at; an empty table stays empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
