@@ -147,6 +147,21 @@ def test_model_beats_unigrams(docs):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_shuffles_of_scoring(spark, docs, hard, monkeypatch):
+    """Texts go through a shuffle once, compressed, and keys as gaps; steps of any size give the same scores."""
+    from bench import shuffle_bytes
+
+    model, words = lm.fit(docs)
+    before = shuffle_bytes(spark)
+    want = sorted(tuple(r) for r in lm.score(docs, model, words).drop("base_score").collect())
+    size = sum(len((r.text or "").encode()) for r in docs.collect())
+    assert shuffle_bytes(spark) - before < 1.75 * size
+    other = sorted(map(str, lm.score(hard, model, words).drop("base_score").collect()))
+    monkeypatch.setattr(lm, "STEP_BYTES", 5000)
+    assert sorted(tuple(r) for r in lm.score(docs, model, words).drop("base_score").collect()) == want
+    assert sorted(map(str, lm.score(hard, model, words).drop("base_score").collect())) == other
+
+
 def test_filter_counts_are_never_lower():
     key = textvec.mix(np.arange(1, 5001, dtype=np.uint64))
     n = np.random.default_rng(1).zipf(1.5, 5000).clip(1, 10**6)

@@ -102,6 +102,38 @@ def _short(key: np.ndarray) -> np.ndarray:
     return key >> np.uint64(5) & np.uint64((1 << 40) - 1)
 
 
+def _in_ranges(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of distinct keys by range and, within it, by their 40 bits; and these bits above those of the range."""
+    both = _part(keys, ranges).astype(np.uint64) << np.uint64(40) | _short(keys)
+    order = np.argsort(both)
+    return order, both[order]
+
+
+def _gaps(x: np.ndarray) -> bytes:
+    """Numbers of up to 40 bits in order, as a byte that says how many bytes each has and the gaps between them."""
+    gap = np.diff(x, prepend=np.uint64(0))
+    width = 4 if int(gap.max(initial=0)) < 1 << 32 else 5
+    return bytes([width]) + gap.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _from_gaps(blob: bytes) -> np.ndarray:
+    gap = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
+    return np.cumsum(np.pad(gap, ((0, 0), (0, 8 - blob[0]))).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _packed(rows: pa.Table) -> bytes:
+    """A table with its buffers compressed, for shuffles: to two thirds of what Spark's own compression leaves of texts."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        out.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(column: pa.ChunkedArray) -> pa.RecordBatch:
+    """The rows of all tables of a column."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in column]).combine_chunks().to_batches()[0]
+
+
 def _joined(column, kind: type) -> np.ndarray:
     """The numbers of all blobs of a column."""
     return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in column]])
@@ -444,36 +476,61 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(base + upto // STEP_BYTES), pa.array(np.arange(row, row + len(texts))), batch.column(0), texts], ["step", "row", "doc_id", "text"])
             row, size = row + len(texts), int(upto[-1]) if len(upto) else size
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = [], None
+
+        def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            return pa.record_batch([pa.array([own]), pa.array([_packed(rows)], pa.binary())], ["step", "rows"])
+
+        for batch in batches:
+            steps = np.asarray(batch.column(0))
+            edges = [0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), len(steps)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i < j:
+                    if held and steps[i] != own:
+                        yield out()
+                    own = int(steps[i])
+                    held.append(batch.slice(i, j - i).select(["row", "doc_id", "text"]))
+        if held:
+            yield out()
+
     def ask(table: pa.Table) -> pa.Table:
-        keys = Step.asked(text_column(table.combine_chunks().to_batches()[0]), shared.value[0])
-        part, (keys,) = _cut(_part(keys, ranges_for(shared.value[0].tokens)), _short(keys).view(np.uint8).reshape(-1, 8)[:, :5])
-        return pa.table({"step": pa.array(np.full(len(part), table["step"][0].as_py())), "range": part, "keys": keys})
+        _, keys = _in_ranges(Step.asked(text_column(_unpacked(table["rows"])), shared.value[0]), ranges_for(shared.value[0].tokens))
+        part, short = (keys >> np.uint64(40)).astype(np.int64), keys & np.uint64((1 << 40) - 1)
+        edge = np.flatnonzero(np.diff(part, prepend=-1))
+        blobs = pa.array([_gaps(x) for x in np.split(short, edge[1:])] if len(edge) else [], pa.binary())
+        return pa.table({"step": pa.array(np.full(len(edge), table["step"][0].as_py())), "range": part[edge], "keys": blobs})
 
     def answer(asked: pa.Table, block: pa.Table) -> pa.Table:
-        five = _joined(asked["keys"], np.uint8).reshape(-1, 5)
-        key = np.pad(five, ((0, 0), (0, 3))).view(np.uint64).ravel()
+        keys = [_from_gaps(x.as_py()) for x in asked["keys"]]
+        many, key = np.array([len(x) for x in keys], np.int64), np.concatenate([np.zeros(0, np.uint64), *keys])
         levels = Filter(np.frombuffer(block["bits"][0].as_buffer(), np.uint8)).levels(key) if block.num_rows else np.zeros(len(key), np.int64)
-        many = np.asarray(pc.binary_length(asked["keys"]), np.int64) // 5
-        of = [x.tobytes() for x in np.split(levels.astype(np.uint8), np.cumsum(many)[:-1])]
+        of = [x.tobytes() for x in np.split(levels.astype(np.uint8), np.cumsum(many)[:-1])] if len(many) else []
         return pa.table({"step": asked["step"], "range": asked["range"], "levels": pa.array(of, pa.binary())})
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         own, kept = shared.value
-        batch = table.combine_chunks().to_batches()[0]
+        batch = _unpacked(table["rows"])
         step, logs = Step.of(text_column(batch), own), np.log10(own.counts + ALPHA)
-        p = log_probabilities(own, kept, step, _joined(answers.sort_by("range")["levels"], np.uint8))
+        order, _ = _in_ranges(step.keys, ranges_for(own.tokens))
+        levels = np.empty(len(order), np.uint8)
+        levels[order] = _joined(answers.sort_by("range")["levels"], np.uint8)
+        p = log_probabilities(own, kept, step, levels)
         inside, begin = step.at >= 0, step.first[:-1]
         cum = lambda x: np.add.reduceat(x, begin)  # noqa: E731  no text is without tokens
         base = cum(np.where(inside, logs[step.at] if len(logs) else 0.0, 0.0))
         ends = np.concatenate([[0], np.cumsum(cum((~inside).astype(np.int64)))])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(step.hashes[~inside].view(np.int64)))
         values = [pa.array(x) for x in (np.diff(step.first), cum(inside.astype(np.int64)), base, cum(p))]
-        return pa.table([table["row"], table["doc_id"], *values, lists], ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"])
+        return pa.table([batch.column(0), batch.column(1), *values, lists], ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"])
 
     texts, _ = written(docs.mapInArrow(number, "step long, row long, doc_id long, text string"), "texts")
-    asked = texts.groupBy("step").applyInArrow(ask, "step long, range long, keys binary")
+    packed = texts.mapInArrow(pack, "step long, rows binary")
+    asked = packed.groupBy("step").applyInArrow(ask, "step long, range long, keys binary")
     answers = asked.groupBy("range").cogroup(model.blocks.groupBy("range")).applyInArrow(answer, "step long, range long, levels binary")
-    scored_ = texts.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(finish, "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>")
+    scored_ = packed.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(finish, "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>")
     table, _ = written(scored_, "scores")
     rare = table.select("row", F.explode("rare").alias("hash")).join(words, "hash", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("more"), F.count("n").alias("also"))
