@@ -114,3 +114,14 @@ def test_tasks(spark, sf):
     assert 4 <= len(asked) <= 10 and "links" in asked[0].question
     i = {r.task: r for r in run(spark, sf, "task_intents")}
     assert i[0].exclusions == ["ship/box.py"] and i[0].identifiers == ["Cart.add"] and i[1].creates and i[1].infrastructure and i[2].exclusions == ["LegacyStore"] and i[2].identifiers == ["user_id"]
+
+
+def test_pack_stages_of_odd_texts(spark, duck, tmp_path):
+    """Empty texts, texts of white space, vertical tabs and nulls, and empty languages and sources, as in SQL."""
+    texts = ["", " ", "\n", "a\x0bb" * 9, " a\x0b b \t", None, "x", *("w\x0bw " * n for n in range(20, 45))]
+    rows = [(i, text, lang, source, len(text or "")) for i, (text, lang, source) in enumerate((t, g, s) for t in texts for g, s in (("en", "src0"), ("", "")))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["pack_stages"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalog.oracles()["pack_stages"]).fetchall())
