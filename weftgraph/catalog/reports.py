@@ -136,9 +136,7 @@ def cost_running(spark, d):
 @query("""with a as (select src as id, count(distinct dst) as affected, count(distinct case when kind = 'sql_table' then dst end) as tables, count(distinct file) as files from edges join nodes on nodes.id = dst group by 1)
 select case when tables > 0 or affected > 5 then 'HIGH' when affected > 1 or files > 1 then 'MEDIUM' else 'LOW' end as risk, count(*) as n from a group by 1""", views=True)
 def risk_level(spark, d):
-    peers = nodes(spark, d).select(F.col("id").alias("dst"), "kind", "file")
-    a = edges(spark, d).join(peers, "dst").groupBy("src").agg(F.countDistinct("dst").alias("affected"), F.countDistinct(F.when(F.col("kind") == "sql_table", F.col("dst"))).alias("tables"), F.countDistinct("file").alias("files"))
-    return a.groupBy(b.risk(F.col("tables"), F.col("affected"), F.col("files")).alias("risk")).agg(F.count("*").alias("n"))
+    return b.risk_of_sources(nodes(spark, d), edges(spark, d)).groupBy("risk").agg(F.count("*").alias("n"))
 
 
 @query(r"""select doc_id, len(regexp_extract_all(text, '\S+')) <= 60 and not regexp_matches(text, '```|def |class |\bimport |=>|[{};]') and not (regexp_matches(lower(text), '\b(api|service|endpoint|http)\b') and n_chars % 2 = 0) and source in ('src0', 'src1') as stands from documents""")

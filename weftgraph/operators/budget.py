@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
+from ..sources.tables import dealt
 
 
 def budget_prefix(df: DataFrame, group: str, order: list, cost: Column, budget: int) -> DataFrame:
@@ -51,6 +52,15 @@ def risk(tables: Column, affected: Column, files: Column) -> Column:
     return F.when((tables > 0) | (affected > 5), "HIGH").when((affected > 1) | (files > 1), "MEDIUM").otherwise("LOW")
 
 
+def risk_of_sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, risk) of the sources of edges to known nodes. More than one file counts only where a source has a single
+    target, so files are counted by target; distinct targets are counted where their join has put them together."""
+    targets = nodes.groupBy(F.col("id").alias("dst")).agg(F.max(F.when(F.col("kind") == "sql_table", 1).otherwise(0)).alias("table"), F.countDistinct("file").alias("files"))
+    one = dealt(edges.select("src", "dst"), "dst").join(targets, "dst").groupBy("src", "dst").agg(F.max("table").alias("table"), F.max("files").alias("files"))
+    a = one.groupBy("src").agg(F.count("*").alias("affected"), F.max("table").alias("tables"), F.max("files").alias("files"))
+    return a.select("src", risk(F.col("tables"), F.col("affected"), F.col("files")).alias("risk"))
+
+
 def verified_story(story: Column, table_names: Column, known: Column, calls: Column) -> Column:
     """Whether a one-line story may stand: 60 words at most, no code, no table that isn't known, no claim of services
     without calls."""
