@@ -37,3 +37,11 @@ def test_risk_of_sources(spark):
             want[src] = "HIGH" if any(h[1] == "sql_table" for h in hit) or affected > 5 else "MEDIUM" if affected > 1 or files > 1 else "LOW"
     df = budget.risk_of_sources(n, e)
     assert dict(df.collect()) == want and "Expand" not in plan(df)
+
+
+def test_noisy_or_in_bounded_tasks(spark, sf, monkeypatch):
+    """Line items are dealt to tasks by the size of their files."""
+    from weftgraph.sources import graph_views, tables
+
+    monkeypatch.setattr(tables, "A_TASK", 20_000, raising=False)
+    assert "REPARTITION_BY_NUM" in plan(graph_views.edges(spark, sf).where("type = 'WRITES'"))
