@@ -45,3 +45,24 @@ def test_noisy_or_in_bounded_tasks(spark, sf, monkeypatch):
 
     monkeypatch.setattr(tables, "A_TASK", 20_000, raising=False)
     assert "REPARTITION_BY_NUM" in plan(graph_views.edges(spark, sf).where("type = 'WRITES'"))
+
+
+def test_surprising_by_classes(spark):
+    """The same rows whether or not the unsurest edges fill the top; pairs aren't brought together before their nodes."""
+    for seed, m, top in ((1, 12, 10), (2, 160, 3), (3, 160, 10), (4, 160, 100)):
+        nodes, edges, n, e = some_graph(spark, seed, m=m)
+        n = n.dropDuplicates(["id"])
+        files = {r.id: r.file for r in n.collect()}
+        part = lambda f: (f.rpartition("/")[0], f.rpartition(".")[2])
+        best = {}
+        for src, dst, kind, sure in edges:
+            if kind != "DEFINED_IN" and src in files and dst in files:
+                a, b = files[src], files[dst]
+                cross = 1 + 2 * (part(a)[0] != part(b)[0]) + 3 * (part(a)[1] != part(b)[1]) if a and b and a != b else 0
+                score = {"resolved": 0, "external": 1}.get(sure, 3) + cross
+                if score:
+                    best[src, dst] = min(best.get((src, dst), (1,)), (-score, kind, sure))
+        want = sorted((s, src, dst, kind, sure) for (src, dst), (s, kind, sure) in best.items())[:top]
+        assert [(-r.score, r.src, r.dst, r.type, r.confidence) for r in graph.surprising(n, e, top=top).collect()] == want
+    calls = spark.createDataFrame([("py:a::b", "sql:c::d", "CALLS", "resolved")], e.schema).unionByName(e.where("confidence = 'dynamic'")).repartition(1)
+    graph.surprising(n, calls.withColumn("src", graph.F.expr("if(confidence = 'resolved', raise_error('read'), src)")), top=1).collect()  # class 0 is not needed

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..plans.lenses import NOISE_KINDS, language
+from ..sources.tables import dealt
 
 # Names of builtins and of plain data fields, which are no abstractions of a code base.
 BUILTIN_NAMES = """str int float bool bytes bytearray complex object True False None MagicMock Mock AsyncMock
@@ -39,7 +40,8 @@ def label(node_id: Column, sig: Column) -> Column:
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` with in_degree, out_degree and degree over the multiset of edges."""
-    ends = edges.select(F.col("src").alias("id"), F.lit(0).alias("n_in"), F.lit(1).alias("n_out")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(1).alias("n_in"), F.lit(0).alias("n_out")))
+    end = lambda c, n_in: F.struct(F.col(c).alias("id"), F.lit(n_in).alias("n_in"), F.lit(1 - n_in).alias("n_out"))
+    ends = edges.select(F.inline(F.array(end("src", 0), end("dst", 1))))  # edges are made once for both of their ends
     n = ends.groupBy("id").agg(F.sum("n_in").alias("in_degree"), F.sum("n_out").alias("out_degree"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = nodes.join(n, "id", "left").withColumns({c: zero(c) for c in ("in_degree", "out_degree")})
@@ -87,7 +89,7 @@ def neighbors(nodes: DataFrame, edges: DataFrame, node_id: str, direction: str =
 def one_hop(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per target of edges: callers, readers, distinct files of its sources, distinct tables among them."""
     src = nodes.select(F.col("id").alias("src"), F.col("file").alias("src_file"), F.col("kind").alias("src_kind"))
-    return edges.join(src, "src", "left").groupBy(F.col("dst").alias("id")).agg(
+    return dealt(edges, "src").join(src, "src", "left").groupBy(F.col("dst").alias("id")).agg(
         F.count_if(F.col("type") == "CALLS").alias("callers"), F.count_if(F.col("type") == "READS").alias("readers"),
         F.countDistinct("src_file").alias("files"), F.countDistinct(F.when(F.lower("src_kind").isin("sql_table", "table"), F.col("src"))).alias("tables"),
     )
@@ -147,19 +149,29 @@ def surprising(nodes: DataFrame, edges: DataFrame, communities: DataFrame | None
     folder = lambda f: F.when(f.contains("/"), F.regexp_replace(f, "/[^/]*$", "")).otherwise(".")
     suffix = lambda f: F.lower(F.regexp_extract(f, r"[^/.][^/]*?(\.[^./]*)$", 1))
     unsure = F.when(F.col("confidence").isin("ambiguous", "dynamic", "unresolved"), 3).when(F.col("confidence") == "external", 1).otherwise(0)
-    # what sets edges of one pair apart is known before any node is joined, so pairs come first
-    pairs = edges.where("type <> 'DEFINED_IN'").groupBy("src", "dst").agg(F.min(F.struct((-unsure).alias("less"), "type", "confidence")).alias("best"))
-    e = pairs.select("src", "dst", (-F.col("best.less")).alias("unsure"), "best.type", "best.confidence")
-    for end in ("src", "dst"):
-        e = e.join(nodes.select(F.col("id").alias(end), F.col("file").alias(f"{end}_file")), end)
     a, b = F.col("src_file"), F.col("dst_file")
     cross = F.coalesce((a != "") & (b != "") & (a != b), F.lit(False))
-    score = F.col("unsure") + F.when(cross, 1 + F.when(folder(a) != folder(b), 2).otherwise(0) + F.when((suffix(a) != "") & (suffix(b) != "") & (suffix(a) != suffix(b)), 3).otherwise(0)).otherwise(0)
+    score = F.when(cross, 1 + F.when(folder(a) != folder(b), 2).otherwise(0) + F.when((suffix(a) != "") & (suffix(b) != "") & (suffix(a) != suffix(b)), 3).otherwise(0)).otherwise(0)
+    most, own = 6, nodes.select("id", "file")
     if communities is not None:
-        for end in ("src", "dst"):
-            e = e.join(communities.select(F.col("id").alias(end), F.col("community").alias(f"{end}_community")), end, "left")
+        own, most = own.join(communities.select("id", "community"), "id", "left"), most + 3
         score = score + F.when(F.col("src_community") != F.col("dst_community"), 3).otherwise(0)
-    best = e.select("src", "dst", "type", score.cast("int").alias("score"), "confidence").where("score > 0").orderBy(F.desc("score"), "src", "dst").limit(top)
+    # the unsurest edges first; those below come only if the most that they can score reaches the last of the best so far
+    found: dict[tuple, Row] = {}
+    for least in (3, 1, 0):
+        ranked = sorted(found.values(), key=lambda r: (-r.score, r.src, r.dst))[:top]
+        if len(ranked) == top and least + most < ranked[-1].score:
+            break
+        e = edges.where((F.col("type") != "DEFINED_IN") & (unsure == least)).select("src", "dst", "type", "confidence")
+        for end in ("src", "dst"):
+            e = dealt(e, end).join(own.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in own.columns[1:]]), end)
+        e = e.select("src", "dst", "type", (score + least).cast("int").alias("score"), "confidence").where("score > 0")
+        # a pair's edges lie together by their target
+        pairs = e.groupBy("src", "dst").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("less"), "type", "confidence")).alias("best"))
+        for r in pairs.select("src", "dst", "best.type", "score", "best.confidence").orderBy(F.desc("score"), "src", "dst").limit(top).collect():
+            found.setdefault((r.src, r.dst), r)
+    ranked = sorted(found.values(), key=lambda r: (-r.score, r.src, r.dst))[:top]
+    best = nodes.sparkSession.createDataFrame(ranked, "src string, dst string, type string, score int, confidence string")
     for end in ("src", "dst"):  # labels for ``top`` rows only
         best = nodes.select(F.col("id").alias(end), label(F.col("id"), F.col("sig")).alias(f"{end}_label")).join(F.broadcast(best), end)
     return best.select("src", "dst", "src_label", "dst_label", "type", "score", "confidence").orderBy(F.desc("score"), "src", "dst")
