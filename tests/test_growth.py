@@ -81,3 +81,21 @@ def test_diff_within_reads_edges_once(spark):
     assert plan(df).count("Scan ExistingRDD[src") == 1 and {tuple(r) for r in df.collect()} == want
     apart = lenses.diff(old, e.join(old.select(graph.F.col("id").alias("src")), "src", "left_semi"), new, e.join(new.select(graph.F.col("id").alias("dst")), "dst", "left_semi"))
     assert {tuple(r) for r in apart.collect()} == want
+
+
+def test_reach_by_depth_of_repeated_edges(spark):
+    """Repeated edges and gold edges that are no edges, against plain Python; edges and gold edges are shuffled together."""
+    from weftgraph.plans import traverse
+
+    _, edges, _, e = some_graph(spark, 6, m=60)
+    gold = [(s, d, t) for s, d, t, _ in edges[::3]] + [("py:x::y", "z", "CALLS")] * 2
+    depth, frontier = {edges[0][0]: 0}, {edges[0][0]}
+    for k in (1, 2):
+        frontier = {d for s, d, _, _ in edges if s in frontier} - depth.keys()
+        depth |= dict.fromkeys(frontier, k)
+    want = {}
+    for k in (1, 2, 3):
+        found = {x[:3] for x in edges if depth.get(x[0], 9) < k}
+        want[k] = (len(found), len(found & set(gold)), round(len(found & set(gold)) / len(set(gold)), 4))
+    df = traverse.reach_by_depth(e, e.select(graph.F.lit(edges[0][0]).alias("id")), spark.createDataFrame(gold, "src string, dst string, type string"), 3)
+    assert {r.max_hops: (r.found, r.hits, r.recall) for r in df.collect()} == want and "SortMergeJoin" not in plan(df)
